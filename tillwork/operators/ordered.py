@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tillwork.session import hot_rows, materialize
 
 _SEG = "_seg"
+# Rows per key up to which re-reading a sliding frame on every row is cheaper than splitting it.
+SLIDING_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,7 @@ def _result_types(held, outputs, by, order):
 
 
 def sliding_sums(df: DataFrame, by: Sequence[str], micros: str, tie: str,
-                 outputs: dict[str, tuple[Column, int]], limit: int = 20_000,
+                 outputs: dict[str, tuple[Column, int]], limit: int | None = None,
                  largest: int | None = None) -> DataFrame:
     """Sums over the `width` microseconds up to and including each row's time, peers included.
 
@@ -134,6 +136,7 @@ def sliding_sums(df: DataFrame, by: Sequence[str], micros: str, tie: str,
     per key each value becomes an entry at its time and an exit just after it leaves the frame,
     so the window is a running sum and `scan` can split the key.
     """
+    limit = min(SLIDING_ROWS, hot_rows(df.sparkSession)) if limit is None else limit
     largest = largest_group(df, by) if largest is None else largest
     if largest <= limit:
         order = Window.partitionBy(*by).orderBy(micros)

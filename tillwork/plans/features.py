@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.scalars import as_number, micros, to_cad
 from tillwork.operators.ordered import Running, largest_group, scan, sliding_sums
+from tillwork.session import hot_rows
 
 # Feature order of the model vector, and the values that count as a mismatch (fixed values).
 FEATURES = ("amount_cad", "network_risk_score", "is_card_not_present", "avs_mismatch", "cvv_mismatch",
@@ -25,21 +26,31 @@ _AT = "_at"
 
 
 def card_windows(df: DataFrame, count_seconds: int = 300, sum_seconds: int = 3600,
-                 largest: int | None = None, limit: int = 20_000) -> DataFrame:
+                 largest: int | None = None) -> DataFrame:
     """Transactions of the card in the last five minutes and its amount in the last hour, in the
     card's own currency, peers at the same time included. Needs `_at` (microseconds)."""
     return sliding_sums(df, ["card_token"], _AT, "transaction_id", {
         "card_txn_count_5m": (F.lit(1).cast("bigint"), count_seconds * 1_000_000),
         "card_amount_sum_1h": (F.col("amount"), sum_seconds * 1_000_000),
-    }, limit=limit, largest=largest)
+    }, largest=largest)
 
 
 def new_country(df: DataFrame, largest: int | None = None) -> DataFrame:
     """Flag the first transaction of a card in a country, unless it is the card's first country.
 
-    Only the first row per (card, country) can carry the flag, and a minimum finds it: that
-    combines on the map side however many rows a card has.
+    Windows by card do it while cards are small. Only the first row per (card, country) can carry
+    the flag, so for busy cards a minimum finds it instead: that combines on the map side.
     """
+    largest = largest_group(df, ["card_token"]) if largest is None else largest
+    if largest <= hot_rows(df.sparkSession):
+        def before(*keys):
+            return (Window.partitionBy(*keys).orderBy(_AT, "transaction_id")
+                    .rowsBetween(Window.unboundedPreceding, -1))
+
+        return df.withColumn("is_new_ip_country",
+                             F.col("ip_country").isNotNull()
+                             & (F.count("ip_country").over(before("card_token")) > 0)
+                             & (F.count(F.lit(1)).over(before("card_token", "ip_country")) == 0))
     first = (df.where(F.col("ip_country").isNotNull()).groupBy("card_token", "ip_country")
              .agg(F.min(F.struct(_AT, "transaction_id")).alias("first")))
     card_first = first.groupBy("card_token").agg(F.min("first").alias("card_first"))
@@ -78,8 +89,8 @@ def windowed_features(df: DataFrame) -> DataFrame:
     one shuffle by card when no card is hot."""
     timed = df.withColumn(_AT, micros("created_at"))
     cards, merchants = largest_group(timed, ["card_token"]), largest_group(timed, ["merchant_id"])
-    out = card_gap(card_windows(timed, largest=cards), largest=cards)
-    return merchant_zscore(new_country(out), largest=merchants).drop(_AT)
+    out = new_country(card_gap(card_windows(timed, largest=cards), largest=cards), largest=cards)
+    return merchant_zscore(out, largest=merchants).drop(_AT)
 
 
 def label_mature(day: str, as_of: date) -> Column:

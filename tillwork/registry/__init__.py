@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tillwork.registry.base import ORACLES, QUERIES
 
-_MODULES = ("payments",)
+_MODULES = ("payments", "features")
 
 
 def _load() -> None:
