@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def instant(value: datetime | date) -> Column:
+    """A naive UTC time as a literal, whatever the time zone of the driver."""
+    return F.lit(value.isoformat()).cast("timestamp_ntz")
+
+
 def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(1_000_000.0)
 

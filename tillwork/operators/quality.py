@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwork.functions.scalars import seconds_between
+from tillwork.functions.scalars import instant, seconds_between
 
 
 def unique(df: DataFrame, column: str) -> DataFrame:
@@ -122,7 +122,7 @@ def enforce(df: DataFrame, schema: T.StructType) -> DataFrame:
 def freshness(df: DataFrame, ts: str, now: datetime, warn_seconds: int = 900,
               error_seconds: int = 3600) -> DataFrame:
     newest = df.agg(F.max(ts).alias("newest"))
-    aged = newest.select("newest", seconds_between("newest", F.lit(now).cast("timestamp_ntz")).alias("age_seconds"))
+    aged = newest.select("newest", seconds_between("newest", instant(now)).alias("age_seconds"))
     return aged.withColumn("status", F.when(F.col("age_seconds") > error_seconds, "error")
                            .when(F.col("age_seconds") > warn_seconds, "warn")
                            .when(F.col("age_seconds").isNull(), "error").otherwise("pass"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.functions.scalars import as_number, micros, to_cad
+from tillwork.functions.scalars import as_number, instant, micros, to_cad
 from tillwork.operators.ordered import Running, largest_group, scan, sliding_sums
 from tillwork.session import hot_rows
 
@@ -158,4 +158,4 @@ def card_state(fct: DataFrame) -> DataFrame:
 def recent(fct: DataFrame, ts: str = "created_at", span: str = "1 hour") -> DataFrame:
     """Rows within `span` of the newest one."""
     newest = fct.agg(F.max(ts).alias("newest")).first()["newest"]
-    return fct.where(F.col(ts) >= F.lit(newest) - F.expr(f"interval {span}"))
+    return fct.where(F.col(ts) >= instant(newest) - F.expr(f"interval {span}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork import schemas
-from tillwork.functions.scalars import later, mask_email, to_cad
+from tillwork.functions.scalars import instant, later, mask_email, to_cad
 from tillwork.operators.quality import enforce
 from tillwork.operators.upsert import upsert
 
@@ -66,8 +66,8 @@ def fct_transactions(transactions: DataFrame, adjustments: DataFrame, fx: DataFr
 
 def changed_transactions(transactions: DataFrame, adjustments: DataFrame, mark) -> DataFrame:
     """Ids whose own row, refund or chargeback is newer than the mark."""
-    own = transactions.where(F.col("updated_at") > F.lit(mark)).select("transaction_id")
-    adjusted = adjustments.where(F.col("updated_at") > F.lit(mark)).select("transaction_id")
+    own = transactions.where(F.col("updated_at") > instant(mark)).select("transaction_id")
+    adjusted = adjustments.where(F.col("updated_at") > instant(mark)).select("transaction_id")
     return own.union(adjusted).distinct()
 
 

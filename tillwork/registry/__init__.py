@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tillwork.registry.base import ORACLES, QUERIES
 
-_MODULES = ("payments", "features")
+_MODULES = ("payments", "features", "ledger")
 
 
 def _load() -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.functions.scalars import instant
 from tillwork.operators import quality, upsert as merging
 from tillwork.plans import marts, staging
 from tillwork.registry.base import P_ADJ, P_DIM, P_FCT, P_RAW, P_STG, query
@@ -109,7 +110,7 @@ MARK = datetime(1998, 6, 1)
 def _(spark, sf_dir):
     """First load of what was written up to the mark, then an incremental run over everything."""
     s = staged(spark, sf_dir)
-    old = {k: v.where(F.col("updated_at") <= F.lit(MARK)) for k, v in s.items() if k != "fx"}
+    old = {k: v.where(F.col("updated_at") <= instant(MARK)) for k, v in s.items() if k != "fx"}
     first = marts.fct_incremental(None, old["transactions"], old["refunds"], old["chargebacks"], s["fx"])
     return marts.fct_incremental(first, s["transactions"], s["refunds"], s["chargebacks"], s["fx"])
 
@@ -226,7 +227,7 @@ def _(spark, sf_dir):
     where day = (select max(day) from daily) and s > 0 and abs(row_count - m) > 0.1 * s""")
 def _(spark, sf_dir):
     events = mapping.table(spark, sf_dir, "events")
-    return quality.volume_anomaly(events, "ts", datetime(2024, 1, 30), threshold=0.1)
+    return quality.volume_anomaly(events, "ts", date(2024, 1, 30), threshold=0.1)
 
 
 @query("dq_results", f"""with {P_FCT}, {P_DIM}
