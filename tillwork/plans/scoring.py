@@ -137,18 +137,19 @@ def evaluate(scored: DataFrame, score: str = "score", label: str = "label", tie:
     top = max(1, int(count * top_share))
     cutoff, last = nth_row(rows.select((-F.col("s")).alias("rank"), "tie"), ["rank", "tie"], top)
     flagged = rows.where((-F.col("s") < cutoff) | ((-F.col("s") == cutoff) & (F.col("tie") <= F.lit(last))))
-    best = flagged.agg(F.lit(-cutoff).alias("threshold_at_1pct"), F.avg("y").alias("precision_at_1pct"),
+    areas = ranking.first()
+    return flagged.agg(F.lit(areas["pr_auc"]).alias("pr_auc"), F.lit(areas["roc_auc"]).alias("roc_auc"),
+                       F.lit(-cutoff).alias("threshold_at_1pct"), F.avg("y").alias("precision_at_1pct"),
                        (F.sum("y") / hits).alias("recall_at_1pct"))
-    return ranking.crossJoin(best)   # two single rows
 
 
 def compare_models(challenger: DataFrame, champion: DataFrame | None, **names) -> DataFrame:
     """Average precision of both on the same rows, and whether the challenger takes over. Without
     a champion any challenger does."""
-    new = evaluate(challenger, **names).select(F.col("pr_auc").alias("challenger_pr_auc"))
-    old = (new.select(F.lit(-1.0).alias("champion_pr_auc")) if champion is None
-           else evaluate(champion, **names).select(F.col("pr_auc").alias("champion_pr_auc")))
-    return new.crossJoin(old).withColumn("promote", F.col("challenger_pr_auc") > F.col("champion_pr_auc"))
+    old = -1.0 if champion is None else evaluate(champion, **names).first()["pr_auc"]
+    return evaluate(challenger, **names).select(
+        F.col("pr_auc").alias("challenger_pr_auc"), F.lit(old).alias("champion_pr_auc"),
+        (F.col("pr_auc") > old).alias("promote"))
 
 
 def should_train(features: DataFrame, last_rows: int | None) -> bool:

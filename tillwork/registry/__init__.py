@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tillwork.registry.base import ORACLES, QUERIES
 
-_MODULES = ("payments", "features", "ledger", "drift", "monitoring", "governance", "models", "streams")
+_MODULES = ("payments", "features", "ledger", "drift", "monitoring", "governance", "models", "sources", "streams")
 
 
 def _load() -> None:
