@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.scalars import drift_value
 from tillwork.operators.dedupe import latest_by
-from tillwork.operators.ordered import exact_quantiles
+from tillwork.operators.ordered import exact_quantiles, quantiles_of_counts, value_counts
 
 # Features compared, absolute tolerances for "agrees", and the least rows for a stable estimate
 # (fixed values).
@@ -92,10 +92,10 @@ def skew_report(online: DataFrame, offline: DataFrame, since=None,
                                F.abs(side("o", f) - side("f", f)).alias("diff")) for f, t in tolerances.items()])
     both = on.join(off, "transaction_id").select(F.explode(diffs).alias("d")).select("d.*")
     # Equal differences are merged before anything else, so a feature that agrees is one row.
-    counted = both.groupBy("feature", "tolerance", "diff").agg(F.count(F.lit(1)).alias("n"))
+    counted = value_counts(both, "diff", ["feature", "tolerance"])
     matched = F.sum(F.when(F.col("diff") <= F.col("tolerance"), F.col("n")).otherwise(0))
     rates = counted.groupBy("feature").agg((matched / F.sum("n")).alias("match_rate"), F.max("diff").alias("max_diff"))
-    middle = exact_quantiles(both, "diff", [0.5], ["feature"]).select(
+    middle = quantiles_of_counts(counted, "diff", [0.5], ["feature"]).select(
         "feature", F.col("quantiles")[0].alias("median_diff"))
     return rates.join(middle, "feature", "left").select("feature", "match_rate", "median_diff", "max_diff")
 

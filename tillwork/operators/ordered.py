@@ -186,9 +186,14 @@ def asof_left(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return found.where("_side = 1").select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
-def prefix_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with their row count `n` and the rows up to and including them, `upto`."""
-    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows `n` per distinct value. Kept in the scratch folder: what follows reads it several
+    times, and it is as a rule far smaller than its input, which is then scanned once."""
+    return materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "counts")
+
+
+def prefix_counts(counted: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add to value counts the rows up to and including each value, `upto`."""
     return scan(counted, by, [value], [Running("upto", "sum", F.col("n"))])
 
 
@@ -197,7 +202,7 @@ def nth_row(df: DataFrame, order: Sequence[str], k: int) -> tuple:
     at a time over pre-aggregated counts, so the rows are never sorted as a whole."""
     found: list = []
     for column in order:
-        hit = (prefix_counts(df, column).where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
+        hit = (prefix_counts(value_counts(df, column), column).where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
                .first())
         found.append(hit[column])
         k -= hit["upto"] - hit["n"]
@@ -212,8 +217,15 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float],
     `percentile` keeps every distinct value of a group in one task; here the values stay spread
     and only the two rows around each rank are picked out. Nulls do not count.
     """
-    ranked = prefix_counts(df.where(F.col(value).isNotNull()), value, by)
-    totals = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(value_counts(df, value, by), value, shares, by)
+
+
+def quantiles_of_counts(counted: DataFrame, value: str, shares: Sequence[float],
+                        by: Sequence[str] = ()) -> DataFrame:
+    """The same from value counts."""
+    known = counted.where(F.col(value).isNotNull())
+    ranked = prefix_counts(known, value, by)
+    totals = known.groupBy(*by).agg(F.sum("n").alias("_n"))
     if by:
         ranked = ranked.join(totals, list(by))
     else:

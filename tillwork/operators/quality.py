@@ -37,17 +37,25 @@ def accepted_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_records")))
 
 
-def accepted_range(df: DataFrame, column: str, low=None, high=None, inclusive: bool = True) -> DataFrame:
+def out_of_range(column: str, low=None, high=None, inclusive: bool = True) -> Column:
     value, bad = F.col(column), F.lit(False)
     if low is not None:
         bad = bad | (value < low if inclusive else value <= low)
     if high is not None:
         bad = bad | (value > high if inclusive else value >= high)
-    return df.where(bad)
+    return bad
+
+
+def accepted_range(df: DataFrame, column: str, low=None, high=None, inclusive: bool = True) -> DataFrame:
+    return df.where(out_of_range(column, low, high, inclusive))
+
+
+def over_refunded() -> Column:
+    return F.col("refunded_amount") > F.col("amount")
 
 
 def over_refunds(fct: DataFrame) -> DataFrame:
-    return (fct.where(F.col("refunded_amount") > F.col("amount"))
+    return (fct.where(over_refunded())
             .select("transaction_id", "amount", "refunded_amount", "refund_count"))
 
 
@@ -130,18 +138,45 @@ def freshness(df: DataFrame, ts: str, now: datetime, warn_seconds: int = 900,
 
 @dataclass(frozen=True)
 class Check:
+    """A check that lists its offenders."""
+
     name: str
     offending: DataFrame
     severity: str = "error"
 
 
-def run_checks(checks: Sequence[Check]) -> DataFrame:
-    """One row per check: name, severity, failures and status, in one Spark job."""
-    counted = None
+@dataclass(frozen=True)
+class RowCheck:
+    """A check on single rows of a table: those meeting the condition are the offenders."""
+
+    name: str
+    table: DataFrame
+    offends: Column
+    severity: str = "error"
+
+
+def _status(result: DataFrame) -> DataFrame:
+    return result.withColumn("status", F.when(F.col("failures") == 0, "pass")
+                             .when(F.col("severity") == "warn", "warn").otherwise("fail"))
+
+
+def run_checks(checks: Sequence[Check | RowCheck]) -> DataFrame:
+    """One row per check: name, severity, failures and status. All row checks of one table are
+    counted in a single pass over it."""
+    parts = []
+    tables: dict[int, list[RowCheck]] = {}
     for check in checks:
-        row = check.offending.agg(F.count(F.lit(1)).alias("failures")).select(
-            F.lit(check.name).alias("name"), F.lit(check.severity).alias("severity"), "failures")
-        counted = row if counted is None else counted.unionAll(row)
-    status: Column = (F.when(F.col("failures") == 0, "pass").when(F.col("severity") == "warn", "warn")
-                      .otherwise("fail"))
-    return counted.withColumn("status", status)
+        if isinstance(check, RowCheck):
+            tables.setdefault(id(check.table), []).append(check)
+            continue
+        parts.append(check.offending.agg(F.count(F.lit(1)).alias("failures")).select(
+            F.lit(check.name).alias("name"), F.lit(check.severity).alias("severity"), "failures"))
+    for group in tables.values():
+        counts = group[0].table.agg(*[F.count_if(c.offends).alias(f"c{i}") for i, c in enumerate(group)])
+        rows = F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"),
+                                  F.col(f"c{i}").alias("failures")) for i, c in enumerate(group)])
+        parts.append(counts.select(F.explode(rows).alias("r")).select("r.*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return _status(out)

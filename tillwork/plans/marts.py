@@ -64,27 +64,30 @@ def fct_transactions(transactions: DataFrame, adjustments: DataFrame, fx: DataFr
     return enforce(ready, schemas.FCT_TRANSACTIONS)
 
 
-def changed_transactions(transactions: DataFrame, adjustments: DataFrame, mark) -> DataFrame:
-    """Ids whose own row, refund or chargeback is newer than the mark."""
-    own = transactions.where(F.col("updated_at") > instant(mark)).select("transaction_id")
-    adjusted = adjustments.where(F.col("updated_at") > instant(mark)).select("transaction_id")
-    return own.union(adjusted).distinct()
+def changed_transactions(transactions: DataFrame, refunds: DataFrame, chargebacks: DataFrame, mark) -> DataFrame:
+    """Ids whose own row, refund or chargeback is newer than the mark. The filters are on source
+    columns, so they reach the scans and only new rows are read here."""
+    ids = [df.where(F.col("updated_at") > instant(mark)).select("transaction_id")
+           for df in (transactions, refunds, chargebacks)]
+    return ids[0].unionAll(ids[1]).unionAll(ids[2]).distinct()
 
 
 def fct_incremental(target: DataFrame | None, transactions: DataFrame, refunds: DataFrame,
                     chargebacks: DataFrame, fx: DataFrame) -> DataFrame:
     """The fact after the changes since its newest last_changed_at. Only changed transactions and
     their adjustments go through the joins. An absent or empty target is a first load."""
-    adjustments = transaction_adjustments(refunds, chargebacks)
     mark = None if target is None else target.agg(F.max("last_changed_at")).first()[0]
-    if mark is None:
-        return fct_transactions(transactions, adjustments, fx)
-    changed = changed_transactions(transactions, adjustments, mark)
-    fresh = fct_transactions(
-        transactions.join(changed, "transaction_id", "left_semi"),
-        transaction_adjustments(refunds.join(changed, "transaction_id", "left_semi"),
-                                chargebacks.join(changed, "transaction_id", "left_semi")), fx)
-    return upsert(target, fresh, ["transaction_id"])
+    fresh = fct_changes(mark, transactions, refunds, chargebacks, fx)
+    return fresh if mark is None else upsert(target, fresh, ["transaction_id"])
+
+
+def fct_changes(mark, transactions: DataFrame, refunds: DataFrame, chargebacks: DataFrame, fx: DataFrame) -> DataFrame:
+    """Fact rows changed since the mark; all of them when there is no mark."""
+    if mark is not None:
+        changed = changed_transactions(transactions, refunds, chargebacks, mark)
+        transactions, refunds, chargebacks = (
+            df.join(changed, "transaction_id", "left_semi") for df in (transactions, refunds, chargebacks))
+    return fct_transactions(transactions, transaction_adjustments(refunds, chargebacks), fx)
 
 
 def dim_merchants(history: DataFrame) -> DataFrame:
@@ -93,18 +96,14 @@ def dim_merchants(history: DataFrame) -> DataFrame:
     return enforce(current, schemas.DIM_MERCHANTS)
 
 
-def merchant_daily_volume(fct: DataFrame, dim: DataFrame) -> DataFrame:
-    """Daily volume and risk per merchant in CAD.
-
-    The fact is aggregated to (day, merchant) before the dimension is joined, so the join moves
-    day rows rather than transactions and a busy merchant is combined before any shuffle.
-    """
+def merchant_daily(fct: DataFrame) -> DataFrame:
+    """Measures per day and merchant, without merchant names: what the incremental run keeps."""
     n = F.count(F.lit(1))
 
     def share(condition):
         return F.round(F.count_if(condition).cast("double") / n, 4)
 
-    daily = fct.groupBy("transaction_date", "merchant_id").agg(
+    return fct.groupBy("transaction_date", "merchant_id").agg(
         n.alias("transaction_count"),
         F.count_if("is_approved").alias("approved_count"),
         F.count_if(~F.col("is_approved")).alias("declined_count"),
@@ -114,5 +113,17 @@ def merchant_daily_volume(fct: DataFrame, dim: DataFrame) -> DataFrame:
         F.sum("chargeback_count").alias("chargeback_count"),
         F.count_if("has_fraud_chargeback").alias("fraud_chargeback_count"),
         share(F.col("is_card_not_present")).alias("card_not_present_share"))
+
+
+def merchant_daily_volume(fct: DataFrame, dim: DataFrame) -> DataFrame:
+    """Daily volume and risk per merchant in CAD.
+
+    The fact is aggregated to (day, merchant) before the dimension is joined, so the join moves
+    day rows rather than transactions and a busy merchant is combined before any shuffle.
+    """
+    return named_daily(merchant_daily(fct), dim)
+
+
+def named_daily(daily: DataFrame, dim: DataFrame) -> DataFrame:
     named = daily.join(dim.select("merchant_id", "merchant_name", "category", "country"), "merchant_id")
     return enforce(named, schemas.MERCHANT_DAILY_VOLUME)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.scalars import micros, seconds_between
 from tillwork.operators.dedupe import latest_with_ties
-from tillwork.operators.ordered import Running, nth_row, prefix_counts, scan, sliding_sums
+from tillwork.operators.ordered import Running, nth_row, scan, sliding_sums
 
 # Upper bounds of the reported histograms in seconds, and of the score bins (fixed values).
 STREAM_LATENCY_BOUNDS = (0.1, 0.5, 1, 2, 5, 10, 30, 60, 300)

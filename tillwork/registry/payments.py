@@ -12,6 +12,7 @@ from tillwork.functions.scalars import instant
 from tillwork.operators import quality, upsert as merging
 from tillwork.plans import marts, staging
 from tillwork.registry.base import P_ADJ, P_DIM, P_FCT, P_RAW, P_STG, query
+from tillwork.session import materialize
 from tillwork.sources import mapping
 
 
@@ -243,13 +244,13 @@ def _(spark, sf_dir):
     select 'small_amounts', 'warn', (select count(*) from p_fct where amount < 2000),
            case when (select count(*) from p_fct where amount < 2000) > 0 then 'warn' else 'pass' end""")
 def _(spark, sf_dir):
-    facts = fct(spark, sf_dir)
+    facts = materialize(fct(spark, sf_dir), "fct")
     dim = marts.dim_merchants(merchants(spark, sf_dir))
     return quality.run_checks([
         quality.Check("unique_transaction_id", quality.unique(facts, "transaction_id")),
-        quality.Check("not_null_amount_cad", quality.not_null(facts, "amount_cad")),
+        quality.RowCheck("not_null_amount_cad", facts, F.col("amount_cad").isNull()),
         quality.Check("merchant_known", quality.relationship(facts, "merchant_id", dim, "merchant_id")),
-        quality.Check("small_amounts", quality.accepted_range(facts, "amount", low=2000), "warn"),
+        quality.RowCheck("small_amounts", facts, quality.out_of_range("amount", low=2000), "warn"),
     ])
 
 

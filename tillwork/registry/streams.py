@@ -150,5 +150,5 @@ def _(spark, sf_dir):
     if not running.awaitTermination(DRAIN_SECONDS):
         running.stop()
         raise TimeoutError("stream online did not finish")
-    return job.store.read(spark, target).select("transaction_id", "card_token", "card_txn_count_5m",
+    return job.online_view(spark, target).select("transaction_id", "card_token", "card_txn_count_5m",
                                                 F.round("card_amount_sum_1h", 4).alias("card_amount_sum_1h"))

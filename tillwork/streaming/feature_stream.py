@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwork.operators.dedupe import latest_by
-from tillwork.operators.upsert import upsert
 from tillwork.plans.features import card_state, merchant_moments, recent
 from tillwork.functions.scalars import micros
-from tillwork.sources import store
 from tillwork.streaming.processors import CardFeatures, LateTagger, MerchantScore
 
 ALLOWED_LATENESS_SECONDS = 600
@@ -105,22 +104,31 @@ def latest_features(rows: DataFrame) -> DataFrame:
     return latest_by(rows.where(~F.col("is_late")), ["card_token"], [F.col("event_time").desc(), F.col("transaction_id").desc()])
 
 
-def serve_latest(target: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that keeps the newest feature row per card in a published table."""
+def serve_latest(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink for the newest feature row per card. Each batch adds one folder with the
+    newest rows it saw, so the cost follows the batch and a repeated batch replaces its own folder;
+    `online_view` reads across batches and `compact_online` merges old ones."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if store.properties(spark, target).get("batch") == batch_id:
-            return
-        fresh = latest_features(batch)
-        if store.exists(spark, target):
-            served = store.read(spark, target)
-            newest = latest_features(served.unionByName(fresh, allowMissingColumns=True).join(
-                fresh.select("card_token"), "card_token", "left_semi"))
-            fresh = upsert(served, newest, ["card_token"])
-        store.publish(spark, target, fresh, {"batch": batch_id})
+        latest_features(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
     return write
 
 
+def online_view(spark: SparkSession, path: str) -> DataFrame:
+    return latest_features(spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/batch=*")).drop("batch")
+
+
+def compact_online(spark: SparkSession, path: str) -> None:
+    """Merge the folders present now into one. A crash before the old ones are gone leaves
+    repeats, which the view resolves."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")]
+    merged = latest_features(spark.read.option("basePath", path).parquet(*[str(p) for p in old])).drop("batch")
+    merged.write.parquet(f"{path}/batch=merged-{uuid.uuid4().hex}")
+    for folder in old:
+        fs.delete(folder, True)
+
+
 def outcomes(query: StreamingQuery, total: int, invalid: int) -> dict[str, int]:
     """Events by outcome: what was neither invalid, late nor processed was a repeat."""
     seen = [p.observedMetrics.get("outcomes") for p in query.recentProgress]

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -127,18 +127,25 @@ class MerchantScore(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         batch = _arrivals(rows)
         n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
-        scores = []
-        for late, amount in zip(batch["is_late"], batch["amount"]):
-            if late:
-                scores.append(None)
-                continue
-            usable = n >= MIN_MERCHANT_ROWS and m2 > 0
-            scores.append((amount - mean) / sqrt(m2 / (n - 1)) if usable else 0.0)
-            n += 1
-            delta = amount - mean
-            mean += delta / n
-            m2 += delta * (amount - mean)
-        self.moments.update((int(n), float(mean), float(m2)))
+        on_time = ~batch["is_late"].to_numpy(dtype=bool)
+        amounts = batch["amount"].to_numpy(dtype=float)[on_time]
+        if n == 0 and len(amounts):
+            mean = float(amounts[0])
+        # Sums of deviations from the mean so far, before each row.
+        off = amounts - mean
+        counts = n + np.arange(len(off))
+        sums, squares = np.cumsum(off) - off, np.cumsum(off * off) - off * off
+        with np.errstate(divide="ignore", invalid="ignore"):
+            means = mean + sums / counts
+            spread = m2 + squares - sums * sums / counts
+            # Equal amounts leave a rounding residue instead of zero.
+            usable = (counts >= MIN_MERCHANT_ROWS) & (spread > 1e-12 * (m2 + squares))
+            z = np.where(usable, (amounts - means) / np.sqrt(spread / (counts - 1)), 0.0)
+        if len(off):
+            total, square, count = float(off.sum()), float((off * off).sum()), n + len(off)
+            self.moments.update((int(count), mean + total / count, max(0.0, m2 + square - total * total / count)))
+        scores = np.full(len(batch), np.nan)
+        scores[on_time] = z
         batch["merchant_amount_zscore"] = pd.array(scores, dtype="Float64")
         yield batch
 
