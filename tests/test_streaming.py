@@ -126,3 +126,19 @@ def test_online_view_and_compaction(spark):
     assert view() == [("a", "3"), ("b", "2")]
     write(spark.createDataFrame([("b", "5", BASE + timedelta(seconds=20), False)], schema), 2)
     assert view() == [("a", "3"), ("b", "5")]
+
+
+def test_state_expiry_mode_runs(spark):
+    """With expiry the stream runs on, so it is stopped once its output is there."""
+    import time
+
+    valid, _invalid = events.parse_events(feed(spark, [[message(1, "c", 0), message(2, "c", 10)]]))
+    path = scratch_path(spark, "ttl")
+    query = job.write_offline(job.feature_stream(valid, ttl_days=job.STATE_TTL_DAYS), path, scratch_path(spark, "ckpt"))
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and not any(p.numInputRows for p in query.recentProgress):
+            time.sleep(0.5)
+        assert by_id(spark.read.parquet(path))["2", False]["card_txn_count_5m"] == 2
+    finally:
+        query.stop()

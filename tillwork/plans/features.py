@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.scalars import as_number, instant, micros, to_cad
 from tillwork.operators.ordered import Running, largest_group, scan, sliding_sums
-from tillwork.session import hot_rows
+from tillwork.session import hot_rows, small
 
 # Feature order of the model vector, and the values that count as a mismatch (fixed values).
 FEATURES = ("amount_cad", "network_risk_score", "is_card_not_present", "avs_mismatch", "cvv_mismatch",
@@ -127,7 +127,7 @@ def feature_vector(df: DataFrame, fx: DataFrame | None = None) -> DataFrame:
     """The eleven model inputs as doubles, missing as NaN. With `fx`, amount_cad is computed from
     amount and currency; otherwise it must be present."""
     if fx is not None:
-        df = (df.join(F.broadcast(fx), "currency", "left")
+        df = (df.join(small(fx), "currency", "left")
               .withColumn("amount_cad", to_cad(F.col("amount"), F.col("rate_to_cad"))).drop("rate_to_cad"))
     flag = {
         "is_card_not_present": F.col("entry_mode") == "ecommerce",

@@ -9,6 +9,7 @@ from tillwork import schemas
 from tillwork.functions.scalars import instant, later, mask_email, to_cad
 from tillwork.operators.quality import enforce
 from tillwork.operators.upsert import upsert
+from tillwork.session import small
 
 
 def refund_rollup(refunds: DataFrame) -> DataFrame:
@@ -44,11 +45,10 @@ def transaction_adjustments(refunds: DataFrame, chargebacks: DataFrame) -> DataF
 def fct_transactions(transactions: DataFrame, adjustments: DataFrame, fx: DataFrame) -> DataFrame:
     """One row per transaction with its refund and chargeback outcome, amounts also in CAD.
 
-    The rate table has one row per currency (at most 180 ISO codes), hence the broadcast. An
-    unknown currency leaves the CAD amounts null, for the not-null check to report.
+    An unknown currency leaves the CAD amounts null, for the not-null check to report.
     """
     a = adjustments.withColumnRenamed("updated_at", "adjusted_at").drop("chargeback_amount")
-    joined = transactions.join(a, "transaction_id", "left").join(F.broadcast(fx), "currency", "left")
+    joined = transactions.join(a, "transaction_id", "left").join(small(fx), "currency", "left")
     refunded = F.coalesce("refunded_amount", F.lit(0).cast("decimal(38,2)"))
     ready = joined.select(
         "*", mask_email("customer_email").alias("customer_email_hash"),
@@ -83,11 +83,17 @@ def fct_incremental(target: DataFrame | None, transactions: DataFrame, refunds:
 
 def fct_changes(mark, transactions: DataFrame, refunds: DataFrame, chargebacks: DataFrame, fx: DataFrame) -> DataFrame:
     """Fact rows changed since the mark; all of them when there is no mark."""
-    if mark is not None:
-        changed = changed_transactions(transactions, refunds, chargebacks, mark)
-        transactions, refunds, chargebacks = (
-            df.join(changed, "transaction_id", "left_semi") for df in (transactions, refunds, chargebacks))
-    return fct_transactions(transactions, transaction_adjustments(refunds, chargebacks), fx)
+    kept = since(mark, transactions, refunds, chargebacks)
+    return fct_transactions(kept[0], transaction_adjustments(kept[1], kept[2]), fx)
+
+
+def since(mark, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The rows of all tables that belong to a transaction changed since the mark. Works on raw
+    tables as well, so that staging only sees what changed."""
+    if mark is None:
+        return tables
+    changed = changed_transactions(*tables, mark)
+    return tuple(df.join(changed, "transaction_id", "left_semi") for df in tables)
 
 
 def dim_merchants(history: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwork.functions.scalars import to_cad
 from tillwork.operators.ordered import Running, nth_row, scan
-from tillwork.plans.features import FEATURES, WINDOWED, feature_vector, training_set
+from tillwork.plans.features import FEATURES, WINDOWED, feature_vector, flatten_event, training_set
+from tillwork.session import materialize, small
 
 SEED = 42
 TOP_SHARE = 0.01
@@ -90,12 +92,11 @@ def score(df: DataFrame, model: PipelineModel, threshold: float = DEFAULT_THRESH
 def score_stream(model: PipelineModel, fx: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                  version: str = "1") -> Callable[[DataFrame], DataFrame]:
     """Scoring step for the feature stream. An event that cannot be scored goes on without a score."""
-    from tillwork.plans.features import flatten_event
-    from tillwork.functions.scalars import to_cad
+    rates = small(fx)
 
     def step(rows: DataFrame) -> DataFrame:
         flat = flatten_event(rows) if "raw_payload" in rows.columns else rows
-        priced = (flat.join(F.broadcast(fx), "currency", "left")
+        priced = (flat.join(rates, "currency", "left")
                   .withColumn("amount_cad", to_cad(F.col("amount").cast("decimal(18,2)"), F.col("rate_to_cad"))))
         scored = score(priced, model, threshold, version)
         ok = F.col("fraud_score").isNotNull() & ~F.col("is_late")
@@ -126,7 +127,8 @@ def evaluate(scored: DataFrame, score: str = "score", label: str = "label", tie:
     and recall of the riskiest share of rows. Rows are merged per score first, so tied scores are
     one point of the curve and the ordered part runs over distinct scores."""
     rows = scored.select(F.col(score).alias("s"), F.col(label).cast("bigint").alias("y"), F.col(tie).alias("tie"))
-    points = rows.groupBy((-F.col("s")).alias("rank")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    points = materialize(rows.groupBy((-F.col("s")).alias("rank")).agg(
+        F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")), "points")
     totals = points.agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).first()
     positives, count = totals["p"] or 0, totals["n"] or 0
     curve = scan(points, [], ["rank"], [Running("tp", "sum", F.col("pos")), Running("seen", "sum", F.col("n"))])

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.functions import scalars
+from tillwork.operators.dedupe import latest_by
 from tillwork.plans import features as feat
-from tillwork.registry.base import P_EVENTS, P_FCT, query
+from tillwork.registry.base import P_EVENTS, P_FCT, P_STG, query
 from tillwork.registry.payments import fct
 from tillwork.session import materialize
 from tillwork.sources import mapping
@@ -222,3 +223,17 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return feat.recent(mapping.event_transactions(spark, sf_dir), span="6 hours").select(
         "transaction_id", "card_token", "amount", "created_at")
+
+
+@query("flatten_event", f"""
+    with {P_STG}
+    select transaction_id, amount, currency, entry_mode, avs_result, cvv_result,
+           cast(three_ds_authenticated as varchar) as three_ds_authenticated,
+           cast(network_risk_score as varchar) as network_risk_score from p_stg""")
+def _(spark, sf_dir):
+    """Nested payloads of the newest copies as flat columns."""
+    raw = mapping.raw_transactions(spark, sf_dir)
+    newest = latest_by(raw, ["transaction_id"], [F.col("updated_at").desc(), F.col("id").desc()])
+    nested = newest.select("transaction_id", "amount", F.upper("currency").alias("currency"), "entry_mode",
+                           scalars.payload("raw_payload").alias("raw_payload"))
+    return feat.flatten_event(nested)

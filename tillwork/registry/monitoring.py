@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillwork.operators.dedupe import top_n
 from tillwork.plans import monitoring as plan
 from tillwork.registry.base import query
 from tillwork.sources import mapping
@@ -237,3 +238,24 @@ def _(spark, sf_dir):
 @query("request_breakdown", f"with {R_LOG} select status, detail, count(*) as n from log group by 1, 2")
 def _(spark, sf_dir):
     return plan.request_breakdown(request_log(spark, sf_dir))
+
+
+@query("latency_histogram", """
+    with w as (select greatest(0, value - 10) as seconds from events where event_id % 9 <> 0)
+    select le, count(*) filter (where seconds <= le) as n
+    from w, (select unnest([0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 300.0, 'inf'::double]) as le) group by 1""")
+def _(spark, sf_dir):
+    """Processing delays taken from the values, some of them before the event time."""
+    delay = F.round((F.col("value") - 10) * 1_000_000).cast("bigint")
+    at = F.col("ts").cast("timestamp")
+    rows = mapping.table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 9 == 0).alias("is_late"), at.alias("event_time"),
+        F.timestamp_micros(F.unix_micros(at) + delay).alias("processed_at"))
+    return plan.latency_histogram(rows)
+
+
+@query("top_events", """
+    select user_id, event_id, value from events order by value desc, event_id limit 20""")
+def _(spark, sf_dir):
+    return top_n(mapping.table(spark, sf_dir, "events").select("user_id", "event_id", "value"),
+                 [F.col("value").desc(), F.col("event_id")], 20)

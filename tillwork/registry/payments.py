@@ -63,6 +63,15 @@ def _(spark, sf_dir):
     return staging.stg_customers(mapping.customers(spark, sf_dir))
 
 
+@query("stg_cards", """
+    select cast(c_custkey as varchar) as card_token, cast(c_custkey as varchar) as customer_id,
+           lower(c_mktsegment) as brand, lpad(cast(c_custkey % 1000000 as varchar), 6, '4') as bin,
+           right(c_name, 4) as last4, concat('C', cast(c_nationkey as varchar)) as issuer_country,
+           timestamp '2020-01-01' as created_at from customer""")
+def _(spark, sf_dir):
+    return staging.stg_cards(mapping.cards(spark, sf_dir))
+
+
 @query("stg_refunds", f"""with {P_ADJ}
     select refund_id, transaction_id, amount, 'requested' as reason, updated_at as created_at, updated_at
     from p_refunds""")

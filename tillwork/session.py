@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest group (rows) that one task may sort for an ordered computation. Above it the ordered
 # operators cut the group into range segments instead (operators/ordered.py).
@@ -34,9 +35,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings every job here relies on to a session built elsewhere."""
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # A cluster sets its own number of shuffle partitions; the default of 200 only hurts locally.
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Mark a lookup table for broadcast if it has at most `rows` rows; a larger one is left to a
+    shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.functions.scalars import mask_last4
+
 # Seed rates to CAD (fixed values).
 FX = {"CAD": "1.000000", "USD": "1.370000", "GBP": "1.840000", "EUR": "1.490000"}
 
@@ -119,6 +121,14 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("updated_at"))
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("card_token"), F.col("c_custkey").cast("string").alias("customer_id"),
+        F.lower("c_mktsegment").alias("brand"), F.lpad((F.col("c_custkey") % 1_000_000).cast("string"), 6, "4").alias("bin"),
+        mask_last4("c_name").alias("last4"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("issuer_country"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("created_at"))
+
+
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions of the event stream: user as card, event type as merchant."""
     k = F.get_json_object("props", "$.k").cast("int")

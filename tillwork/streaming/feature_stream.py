@@ -17,6 +17,13 @@ from tillwork.streaming.processors import CardFeatures, LateTagger, MerchantScor
 
 ALLOWED_LATENESS_SECONDS = 600
 DEDUPE_SECONDS = 24 * 3600
+STATE_TTL_DAYS = 90
+
+
+def _mode(ttl_days: int | None) -> tuple[str, int | None]:
+    """State expiry works in processing time only, and then a stream never runs dry: leave it out
+    for runs over what is available now."""
+    return ("none", None) if ttl_days is None else ("processingTime", ttl_days * 86_400_000)
 
 
 def _with(schema: T.StructType, *added: tuple[str, T.DataType]) -> T.StructType:
@@ -30,19 +37,24 @@ def tag_late(events: DataFrame, lateness_seconds: float = ALLOWED_LATENESS_SECON
         LateTagger(lateness_seconds), _with(timed.schema, ("is_late", T.BooleanType())), "append", "none")
 
 
-def card_features(tagged: DataFrame, dedupe_seconds: int = DEDUPE_SECONDS, initial: DataFrame | None = None) -> DataFrame:
-    """One row per transaction with the card's features; repeats emit nothing."""
+def card_features(tagged: DataFrame, dedupe_seconds: int = DEDUPE_SECONDS, initial: DataFrame | None = None,
+                  ttl_days: int | None = None) -> DataFrame:
+    """One row per transaction with the card's features; repeats emit nothing. A repeat older than
+    the allowed lateness is late, so any `dedupe_seconds` above that gives the same result for
+    cards that stay in one source partition; a shorter one keeps less state."""
+    mode, ttl = _mode(ttl_days)
     schema = _with(tagged.schema, ("card_txn_count_5m", T.LongType()), ("card_amount_sum_1h", T.DoubleType()),
                    ("seconds_since_last_card_txn", T.DoubleType()), ("is_new_ip_country", T.BooleanType()))
     return tagged.groupBy("card_token").transformWithStateInPandas(
-        CardFeatures(dedupe_seconds), schema, "append", "none",
+        CardFeatures(dedupe_seconds, ttl), schema, "append", mode,
         initialState=None if initial is None else initial.groupBy("card_token"))
 
 
-def merchant_zscore(stream: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+def merchant_zscore(stream: DataFrame, initial: DataFrame | None = None, ttl_days: int | None = None) -> DataFrame:
+    mode, ttl = _mode(ttl_days)
     schema = _with(stream.schema, ("merchant_amount_zscore", T.DoubleType()))
     return stream.groupBy("merchant_id").transformWithStateInPandas(
-        MerchantScore(), schema, "append", "none",
+        MerchantScore(ttl), schema, "append", mode,
         initialState=None if initial is None else initial.groupBy("merchant_id"))
 
 
@@ -69,10 +81,13 @@ def initial_state(fct: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def feature_stream(events: DataFrame, lateness_seconds: float = ALLOWED_LATENESS_SECONDS,
                    state: tuple[DataFrame, DataFrame] | None = None,
-                   score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Valid events to offline feature rows. The counts of each outcome are observed as `outcomes`."""
+                   score: Callable[[DataFrame], DataFrame] | None = None, dedupe_seconds: int = DEDUPE_SECONDS,
+                   ttl_days: int | None = None) -> DataFrame:
+    """Valid events to offline feature rows. The counts of each outcome are observed as `outcomes`.
+    Pass ttl_days (STATE_TTL_DAYS) in a job that runs on."""
     cards, merchants = state if state is not None else (None, None)
-    rows = merchant_zscore(card_features(tag_late(events, lateness_seconds), initial=cards), merchants)
+    featured = card_features(tag_late(events, lateness_seconds), dedupe_seconds, cards, ttl_days)
+    rows = merchant_zscore(featured, merchants, ttl_days)
     rows = rows.withColumn("processed_at", F.current_timestamp()).observe(
         "outcomes", F.count_if(~F.col("is_late")).alias("processed"), F.count_if("is_late").alias("late"))
     if score is not None:

@@ -48,11 +48,11 @@ class CardFeatures(StatefulProcessor):
     STATE = ("last long, countries array<string>, at array<long>, amount array<long>,"
              "seen array<string>, seen_at array<long>")
 
-    def __init__(self, dedupe_seconds: int):
-        self.dedupe = dedupe_seconds * MICROS
+    def __init__(self, dedupe_seconds: int, ttl_ms: int | None = None):
+        self.dedupe, self.ttl = dedupe_seconds * MICROS, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("card", self.STATE)
+        self.state = handle.getValueState("card", self.STATE, self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Start from history: last time, known countries, and the last hour's transactions."""
@@ -117,8 +117,11 @@ class CardFeatures(StatefulProcessor):
 class MerchantScore(StatefulProcessor):
     """Adds how unusual the amount is for the merchant, from running moments before the event."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", "n long, mean double, m2 double")
+        self.moments = handle.getValueState("moments", "n long, mean double, m2 double", self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
