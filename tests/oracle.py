@@ -85,6 +85,8 @@ def main(argv):
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    if "HOT_ROWS" in os.environ:   # make the ordered operators split groups of this size
+        spark.conf.set("spark.tillwork.hotGroupRows", os.environ["HOT_ROWS"])
     sqls, failed = oracle_sql(), []
     for name, fn in queries().items():
         if argv and name not in argv and not any(a.endswith("*") and name.startswith(a[:-1]) for a in argv):
