@@ -13,22 +13,65 @@ from tillwork.operators.quality import enforce
 from tillwork.sources import mapping
 
 
-@query("redact_text")
+# The reference engine has no lookarounds, so a phone number is matched with the characters next to
+# it, which are put back; a second pass finds numbers that share such a character with the first.
+_PHONE = r"(^|[^\p{L}\p{N}_])((?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4})($|[^\p{L}\p{N}_])"
+_PHONE_SQL = rf"'{_PHONE}', '\1[REDACTED_PHONE]\3', 'g'"
+
+
+def redaction_sql(table: str, keys: str) -> str:
+    return rf"""
+    with runs as (
+      select *, list_distinct(regexp_extract_all(text, '\b(?:\d[ -]?){{12,18}}\d\b')) as found from {table}),
+    cards as (
+      select *, list_filter(found, lambda r: list_sum(list_transform(
+          string_split(reverse(regexp_replace(r, '[^0-9]', '', 'g')), ''),
+          lambda c, i: case when i % 2 = 1 then cast(c as integer)
+                            when cast(c as integer) > 4 then cast(c as integer) * 2 - 9
+                            else cast(c as integer) * 2 end)) % 10 = 0) as valid from runs),
+    no_cards as (
+      select *, list_reduce(list_prepend(text, valid), lambda t, r: replace(t, r, '[REDACTED_CARD]')) as t1 from cards),
+    no_mail as (
+      select *, regexp_replace(t1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[REDACTED_EMAIL]', 'g') as t2
+      from no_cards),
+    no_phone as (
+      select {keys}, regexp_replace(regexp_replace(t2, {_PHONE_SQL}), {_PHONE_SQL}) as text from no_mail),
+    redacted as (
+      select *, cast(len(regexp_extract_all(text, '\[REDACTED_(CARD|EMAIL|PHONE)\]')) as integer) as redactions from no_phone)"""
+
+
+@query("redact_text", redaction_sql("documents", "doc_id") + " select * from redacted")
 def _(spark, sf_dir):
     return redaction.redact(mapping.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
-@query("redact_conversations")
+@query("redact_conversations", redaction_sql("conversations", "conv_id, turn, role") + " select * from redacted")
 def _(spark, sf_dir):
     return redaction.redact_conversations(mapping.table(spark, sf_dir, "conversations"))
 
 
-@query("conversation_redactions")
+@query("conversation_redactions", redaction_sql("conversations", "conv_id, turn, role") + """
+    select conv_id, count(*) as messages, cast(sum(redactions) as bigint) as redactions from redacted group by 1""")
 def _(spark, sf_dir):
     return redaction.conversation_totals(redaction.redact_conversations(mapping.table(spark, sf_dir, "conversations")))
 
 
-@query("pii_scan")
+def scan_sql(column: str) -> str:
+    return rf"""
+    select '{column}' as column_name, kind, count(*) filter (where n > 0) as row_count, cast(sum(n) as bigint) as hits from (
+      select unnest(['card', 'email', 'phone']) as kind, unnest([
+        len(list_filter(regexp_extract_all({column}, '\b(?:\d[ -]?){{12,18}}\d\b'), lambda r: list_sum(list_transform(
+          string_split(reverse(regexp_replace(r, '[^0-9]', '', 'g')), ''),
+          lambda c, i: case when i % 2 = 1 then cast(c as integer)
+                            when cast(c as integer) > 4 then cast(c as integer) * 2 - 9
+                            else cast(c as integer) * 2 end)) % 10 = 0)),
+        len(regexp_extract_all({column}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')),
+        len(regexp_extract_all(regexp_replace(regexp_replace({column}, {_PHONE_SQL}), {_PHONE_SQL}),
+                               '\[REDACTED_PHONE\]'))]) as n
+      from documents) group by 1, 2"""
+
+
+@query("pii_scan", scan_sql("text") + " union all " + scan_sql("source"))
 def _(spark, sf_dir):
     return redaction.pii_scan(mapping.table(spark, sf_dir, "documents"), ["text", "source"])
 
