@@ -142,3 +142,19 @@ def test_state_expiry_mode_runs(spark):
         assert by_id(spark.read.parquet(path))["2", False]["card_txn_count_5m"] == 2
     finally:
         query.stop()
+
+
+def test_stateful_steps_travel_without_the_package(tmp_path):
+    """Workers of a cluster have no copy of this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tillwork.streaming import processors
+
+    steps = [processors.LateTagger(600), processors.CardFeatures(60), processors.MerchantScore()]
+    (tmp_path / "steps").write_bytes(cloudpickle.dumps(steps))
+    code = "import pickle,sys; print([type(s).__name__ for s in pickle.load(open('steps','rb'))], 'tillwork' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "['LateTagger', 'CardFeatures', 'MerchantScore'] False", done.stderr

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tillwork.operators.dedupe import latest_by
 from tillwork.plans.features import card_state, merchant_moments, recent
 from tillwork.functions.scalars import micros
+from tillwork.streaming import processors
 from tillwork.streaming.processors import CardFeatures, LateTagger, MerchantScore
 
+# The stateful steps travel with the query, so no worker needs this package installed.
+cloudpickle.register_pickle_by_value(processors)
+
 ALLOWED_LATENESS_SECONDS = 600
 DEDUPE_SECONDS = 24 * 3600
 STATE_TTL_DAYS = 90
