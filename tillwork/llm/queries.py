@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillwork.llm.chunk_dedup import exact_duplicates
+from tillwork.llm.jaccard_join import jaccard_components
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,3 +29,30 @@ def table(spark, sf_dir, name):
           from documents)""")
 def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+    with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') as words
+        from documents),
+    sh as (
+        select distinct doc_id, array_to_string(words[i:i + 3], ' ') as gram
+        from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 3, 1))) as i from w where len(words) > 0)),
+    n as (select doc_id, count(*) as n from sh group by doc_id),
+    shared as (
+        select a.doc_id as a, b.doc_id as b, count(*) as common
+        from sh a join sh b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+    links as (
+        select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b
+        where 100 * common >= 85 * (x.n + y.n - common)),
+    steps as (select a, b from links union all select b, a from links),
+    reach as (
+        select doc_id as start, doc_id as seen from w
+        union
+        select start, b from reach join steps on a = seen),
+    names as (select start, min(seen) as component_id from reach group by start)
+    select w.doc_id, coalesce(n, 0) as n_shingles, component_id
+    from w left join n using (doc_id) join names on start = w.doc_id""")
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
