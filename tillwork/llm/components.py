@@ -26,9 +26,10 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
     seen = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written before they are joined back: a join of two plain shuffles can split a hot node.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         kept = large.join(low, "u")
         small = (kept.select("u", F.col("m").alias("v"))
                  .unionByName(kept.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())

@@ -326,7 +326,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(names, "root").select("set_id", "component_id")
     copies = classes.where("n > 1").join(linked, "set_id", "left_anti").select("set_id", F.col("first_id").alias("component_id"))
-    named = linked.unionByName(copies).withColumnRenamed("set_id", "same")
+    # Written first, so that the join below has plain shuffles on both sides and can split a hot set.
+    named = materialize(linked.unionByName(copies).withColumnRenamed("set_id", "same"), "names")
     joined = rows.join(named, rows["set_id"] == named["same"], "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 

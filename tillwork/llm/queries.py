@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillwork.llm.chunk_dedup import exact_duplicates
 from tillwork.llm.jaccard_join import jaccard_components
+from tillwork.llm.winnowing import contamination
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,3 +59,35 @@ def op5_exact_dedup(spark, sf_dir):
     from w left join n using (doc_id) join names on start = w.doc_id""")
 def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+    with w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+        from documents),
+    b as (
+        select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+        from benchmark),
+    item_windows as (
+        select distinct item_id, least(len(words), 10) as n, array_to_string(words[j:j + least(len(words), 10) - 1], ' ') as body
+        from (select *, unnest(generate_series(1, greatest(len(words) - 9, 1))) as j from b where len(words) > 0)),
+    sizes as (select distinct n from item_windows),
+    doc_windows as (
+        select doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') as body
+        from (select doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) as i from w cross join sizes where len(words) >= n)),
+    found as (select doc_id, i, n, item_id from doc_windows join item_windows using (n, body)),
+    hit as (
+        select doc_id, count(distinct word) as n_hit
+        from (select doc_id, unnest(generate_series(i, i + n - 1)) as word from found) group by doc_id),
+    names as (
+        select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+        from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+    select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+    from w left join hit using (doc_id) left join names using (doc_id)""")
+def op3_benchmark_decontamination(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
