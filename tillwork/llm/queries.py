@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillwork.llm import quality_crf
 from tillwork.llm.chunk_dedup import exact_duplicates
+from tillwork.llm.common import crc32_fold
 from tillwork.llm.jaccard_join import jaccard_components
 from tillwork.llm.winnowing import contamination
 
@@ -91,3 +93,11 @@ def op3_benchmark_decontamination(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op1_quality_classifier(spark, sf_dir):
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_fold(F.col("doc_id"), 5)
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    return quality_crf.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score",
+                                                 (F.col("score") >= 0.3).cast("int").alias("predicted"))
