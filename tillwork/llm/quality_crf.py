@@ -84,7 +84,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     edge = np.searchsorted(line_of, np.arange(len(begins) + 1))
     key = mix(mix(sums[edge[1:]] - sums[edge[:-1]]) + owner.astype(np.uint64))
     _, index, often = np.unique(key, return_inverse=True, return_counts=True)
-    repeated = ((often[index.reshape(-1)] > 1) & (words > 2)).astype(np.float64)
+    repeated = ((often[index.reshape(-1)] > 1) & (words > 1)).astype(np.float64)
 
     body, text_words = np.maximum(size, 1), np.maximum(words, 1)
     variety = distinct / text_words

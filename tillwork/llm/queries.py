@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwork.llm import quality_crf
+from tillwork.llm import langid, quality_crf
 from tillwork.llm.chunk_dedup import exact_duplicates
 from tillwork.llm.common import crc32_fold
 from tillwork.llm.jaccard_join import jaccard_components
@@ -101,3 +101,10 @@ def op1_quality_classifier(spark, sf_dir):
     model = quality_crf.train(docs, table(spark, sf_dir, "labels").where(fold != 0))
     return quality_crf.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score",
                                                  (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op9_language_id(spark, sf_dir):
+    docs, fold = table(spark, sf_dir, "documents"), crc32_fold(F.col("doc_id"), 3)
+    model = langid.train(docs.where(fold != 1))
+    return langid.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
