@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwork.llm import langid, quality_crf
+from tillwork.llm import langid, pieces, quality_crf
 from tillwork.llm.chunk_dedup import exact_duplicates
 from tillwork.llm.common import crc32_fold
 from tillwork.llm.jaccard_join import jaccard_components
 from tillwork.llm.winnowing import contamination
 
 QUERIES, ORACLES = {}, {}
+# Vocabulary of the installed public tokenizers; on a cluster, a path that every worker has.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def query(sql: str | None = None):
@@ -108,3 +110,14 @@ def op9_language_id(spark, sf_dir):
     docs, fold = table(spark, sf_dir, "documents"), crc32_fold(F.col("doc_id"), 3)
     model = langid.train(docs.where(fold != 1))
     return langid.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, PIECES).select(
+        "doc_id", "n_pieces", "score", F.sha2(F.col("pieces"), 256).alias("pieces_sha256"),
+        F.transform("alternatives", lambda a: a["score"]).alias("other_scores"),
+        F.sha2(F.to_json("alternatives"), 256).alias("alternatives_sha256"), "pieces")
+    kept = ["doc_id", "n_pieces", "score", "pieces_sha256", "other_scores", "alternatives_sha256"]
+    return pieces.decode(encoded, PIECES, kept, into="decoded").withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
