@@ -20,7 +20,7 @@ from tillwork.session import materialize, small
 
 __all__ = ["materialize", "small", "ascii_lower", "row_key", "text_slices", "column_bytes", "word_hashes", "mix", "crc32_fold"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -36,6 +36,8 @@ from tillwork.llm.components import components
 
 # Largest size for which subsets are ever enumerated; the cost decides below it.
 SMALL_SIZE = 24
+# Elements that a task gathers before it packs them by bucket (8 bytes each, a few copies at a time).
+RUN_TOKENS = 1_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -96,34 +98,37 @@ def _unpack(raw: bytes) -> np.ndarray:
 def _bucket_rows(k, buckets):
     """Packed (classes, sizes, counts, elements) per bucket and run of texts. A class is sent once
     per task at most."""
+    def packed(ids, sizes, sets):
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        bucket = ((tokens & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, owner, edges = tokens[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        names, sizes, rows = np.array(ids, object), np.array(sizes, np.uint32), []
+        for b in range(buckets):
+            lo, hi = edges[b], edges[b + 1]
+            if lo < hi:
+                who, count = np.unique(owner[lo:hi], return_counts=True)
+                rows.append((b, b"".join(names[who]), sizes[who].tobytes(), count.astype(np.uint32).tobytes(), _pack(tokens[lo:hi])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
+                                          ["bucket", "classes", "sizes", "counts", "tokens"])
+
     def run(batches):
-        sent = set()
+        sent, ids, sizes, sets, held = set(), [], [], [], 0
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text", 16 << 20):
-                ids, sizes, sets = [], [], []
+            for _, _, data, offsets in text_slices(batch, "text"):
                 for grams in shingle_sets(data, offsets, k):
-                    if len(grams):
-                        name = _set_id(grams)
-                        if name not in sent:
-                            sent.add(name)
-                            ids.append(name)
-                            sizes.append(len(grams))
-                            sets.append(grams)
-                if not sets:
-                    continue
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                bucket = ((tokens & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, edges = tokens[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                names, sizes = np.array(ids, object), np.array(sizes, np.uint32)
-                rows = []
-                for b in range(buckets):
-                    lo, hi = edges[b], edges[b + 1]
-                    if lo < hi:
-                        who, count = np.unique(owner[lo:hi], return_counts=True)
-                        rows.append((b, b"".join(names[who]), sizes[who].tobytes(), count.astype(np.uint32).tobytes(), _pack(tokens[lo:hi])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "classes", "sizes", "counts", "tokens"])
+                    name = _set_id(grams)
+                    if len(grams) and name not in sent:
+                        sent.add(name)
+                        ids.append(name)
+                        sizes.append(len(grams))
+                        sets.append(grams)
+                        held += len(grams)
+                if held >= RUN_TOKENS:
+                    yield packed(ids, sizes, sets)
+                    ids, sizes, sets, held = [], [], [], 0
+        if held:
+            yield packed(ids, sizes, sets)
     return run
 
 

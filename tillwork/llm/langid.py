@@ -124,12 +124,16 @@ def _margins(weights: np.ndarray, idf: np.ndarray):
 
 
 def _temperature(scores: np.ndarray, label: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
-    if not len(scores):
+    """The temperature of least log loss, by golden-section search on its logarithm. The true label's
+    target is one less 1 / (n + 2), so that a faultless sample does not cool to nothing."""
+    if not len(scores) or scores.shape[1] < 2:
         return 1.0
+    doubt = 1 / (len(label) + 2)
 
     def loss(t):
-        return -np.log(np.maximum(_softmax(scores / np.exp(t))[np.arange(len(label)), label], 1e-300)).mean()
+        logs = np.log(np.maximum(_softmax(scores / np.exp(t)), 1e-300))
+        true = logs[np.arange(len(label)), label]
+        return -((1 - doubt) * true + doubt * (logs.sum(axis=1) - true) / (scores.shape[1] - 1)).mean()
     low, high, ratio = np.log(0.01), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = high - ratio * (high - low), low + ratio * (high - low)

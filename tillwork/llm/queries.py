@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwork.llm import langid, pieces, quality_crf
+from tillwork.llm import html_blocks, langid, licenses, pieces, quality_crf, sharding, warc_revisits
 from tillwork.llm.chunk_dedup import exact_duplicates
 from tillwork.llm.common import crc32_fold
 from tillwork.llm.jaccard_join import jaccard_components
@@ -121,3 +121,129 @@ def op7_sentencepiece(spark, sf_dir):
         F.sha2(F.to_json("alternatives"), 256).alias("alternatives_sha256"), "pieces")
     kept = ["doc_id", "n_pieces", "score", "pieces_sha256", "other_scores", "alternatives_sha256"]
     return pieces.decode(encoded, PIECES, kept, into="decoded").withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+@query()
+def op2_html_extraction(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def _canonical_sql(text):
+    """The canonical form of a licence text in DuckDB."""
+    words = (f"regexp_split_to_array(regexp_replace(lower(coalesce({text}, '')), "
+             r"'(?m)^[ \t]*(copyright|©|\(c\)|all rights reserved)[^\n]*$', '', 'g'), '[^\p{L}\p{N}]+')")
+    table = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items()) + "}"
+    out = f"' ' || array_to_string([coalesce(({table})[w], w) for w in {words} if w <> ''], ' ') || ' '"
+    for pair, word in licenses.COMPOUNDS.items():
+        out = f"replace({out}, ' {pair} ', ' {word} ')"
+    return f"sha256(trim({out}))"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.KNOWN)
+
+
+@query(f"""
+    with known as (
+        select {_canonical_sql("body")} as digest, min(license) as license from (values {_KNOWN_SQL}) as k(license, body) group by 1),
+    whole as (select doc_id, {_canonical_sql("text")} as digest from documents),
+    lines as (
+        select doc_id, {_canonical_sql("line")} as digest
+        from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)),
+    notices as (
+        select doc_id, string_agg(distinct license, ',' order by license) as notices from lines join known using (digest) group by doc_id)
+    select doc_id, digest, license, coalesce(notices, '') as notices
+    from whole left join known using (digest) left join notices using (doc_id)""")
+def op4_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+
+
+@query(f"""
+    with recursive shards as (
+        select name, cast('0x' || substr(md5('offset|' || name), 1, 8) as bigint) % {sharding.DEFAULT_SLOTS} as start,
+               cast('0x' || substr(md5('step|' || name), 1, 8) as bigint) % {sharding.DEFAULT_SLOTS - 1} + 1 as step,
+               row_number() over (order by name) - 1 as turn
+        from (select 'shard-' || lpad(cast(i as varchar), 2, '0') as name from range({len(SHARDS)}) as r(i))),
+    fill as (
+        select 0 as t, cast([] as bigint[]) as taken
+        union all
+        select t + 1, list_append(taken, (
+            select (start + k * step) % {sharding.DEFAULT_SLOTS}
+            from shards, range({sharding.DEFAULT_SLOTS}) as places(k)
+            where turn = t % {len(SHARDS)} and not list_contains(taken, (start + k * step) % {sharding.DEFAULT_SLOTS})
+            order by k limit 1))
+        from fill where t < {sharding.DEFAULT_SLOTS}),
+    slots as (
+        select unnest(taken) as slot, (generate_subscripts(taken, 1) - 1) % {len(SHARDS)} as turn
+        from fill where t = {sharding.DEFAULT_SLOTS}),
+    keyed as (
+        select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) % {sharding.DEFAULT_SLOTS} as slot
+        from documents)
+    select doc_id, cast(slot as integer) as slot, name as shard from keyed join slots using (slot) join shards using (turn)""")
+def op6_sharding(spark, sf_dir):
+    names = spark.createDataFrame([(s,) for s in SHARDS], "shard string")
+    placement = sharding.lookup_table(names)
+    return sharding.assign(table(spark, sf_dir, "documents"), placement, "doc_id", keep=("doc_id",))
+
+
+def captures(pages):
+    """Archive records made of pages: a full response of each page and an answer of 304 to a later
+    request, some with a weak tag, some with a date only, some after a change, some too early."""
+    tag, day, number = F.md5(F.coalesce("html", F.lit(""))), F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string")), F.col("page_id")
+    full = pages.select((number * 2).alias("record_id"), "url", number.alias("at"), F.lit(200).alias("status"), F.create_map(
+        F.lit("etag"), F.concat(F.lit('"'), tag, F.lit('"')), F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"),
+        F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.length("html").cast("string")).alias("headers"))
+    own = (F.when(number % 7 == 0, F.create_map(F.lit("etag"), F.lit('"other"')))
+           .when(number % 3 == 0, F.create_map(F.lit("etag"), F.concat(F.lit('W/"'), tag, F.lit('"'))))
+           .when(number % 3 == 1, F.create_map(F.lit("last-modified"), day))
+           .otherwise(F.create_map(F.lit("last-modified"), F.lit("day 3"))))
+    common = F.create_map(F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-type"), F.lit("text/plain"), F.lit("date"), F.concat(F.lit("at "), day))
+    again = pages.select((number * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"),
+                         F.when(number % 5 == 0, number - 3).otherwise(number + 7).alias("at"), F.lit(304).alias("status"), F.map_concat(own, common).alias("headers"))
+    return full.unionByName(again)
+
+
+_PARTS = r"'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^?#]*)(?:\?([^#]*))?'"
+
+
+@query(f"""
+    with pieces as (
+        select page_id, md5(coalesce(html, '')) as tag, 'day ' || (page_id % 28) as day, length(html) as n, url,
+               regexp_replace(lower(regexp_extract(url, {_PARTS}, 1)), '^www[0-9]*\\.', '') as host,
+               regexp_replace(regexp_extract(url, {_PARTS}, 2), '^:(80|443)?$', '') as port,
+               regexp_replace(regexp_extract(url, {_PARTS}, 3), '/+$', '') as path,
+               array_to_string(list_sort([p for p in string_split(regexp_extract(url, {_PARTS}, 4), '&')
+                                          if p <> '' and not regexp_matches(lower(p), '{warc_revisits.TRACKING}')]), '&') as query
+        from pages),
+    named as (select *, host || port || path || case when query = '' then '' else '?' || query end as canonical_url from pieces),
+    answers as (
+        select page_id * 2 + 1 as record_id, canonical_url, case when page_id % 5 = 0 then page_id - 3 else page_id + 7 end as "at",
+               case when page_id % 7 = 0 then 'other' when page_id % 3 = 0 then tag end as new_tag,
+               case when page_id % 7 = 0 then '"other"' when page_id % 3 = 0 then 'W/"' || tag || '"' end as new_etag,
+               case when page_id % 7 = 0 or page_id % 3 = 0 then null when page_id % 3 = 1 then day else 'day 3' end as new_day,
+               'at ' || day as date
+        from named),
+    latest as (
+        select a.*, r.page_id * 2 as response_id, r.tag, r.day, r.n,
+               row_number() over (partition by a.record_id order by r.page_id desc) as place
+        from answers a left join named r
+          on r.canonical_url = a.canonical_url and (r.page_id < a."at" or (r.page_id = a."at" and r.page_id * 2 < a.record_id))),
+    judged as (
+        select *, case when response_id is null then 'orphan'
+                       when coalesce(new_tag = tag, new_day = day, false) then 'resolved' else 'changed' end as outcome
+        from latest where place = 1)
+    select record_id, canonical_url, "at", outcome, case when outcome = 'resolved' then response_id end as response_id,
+           case when outcome = 'resolved' then coalesce(new_etag, '"' || tag || '"') else new_etag end as etag,
+           case when outcome = 'resolved' then coalesce(new_day, day) else new_day end as last_modified,
+           'max-age=600' as cache_control, case when outcome = 'resolved' then 'text/html' else 'text/plain' end as content_type,
+           case when outcome = 'resolved' then cast(n as varchar) end as content_length, date
+    from judged""")
+def op8_warc_revisits(spark, sf_dir):
+    found = warc_revisits.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    header = {"etag": "etag", "last_modified": "last-modified", "cache_control": "cache-control", "content_type": "content-type",
+              "content_length": "content-length", "date": "date"}
+    return found.select("record_id", "canonical_url", "at", "outcome", "response_id",
+                        *[F.element_at("headers", h).alias(c) for c, h in header.items()])
