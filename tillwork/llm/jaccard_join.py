@@ -215,15 +215,16 @@ def _survivor_rows(num, den):
 
 
 def _index_rows(boundary, num, den):
-    """(key, class, size): subsets of small sets, rarest elements of the others. Small sets that can
-    be partners of larger ones are in both."""
+    """(key, class, size, rest): subsets of small sets, rarest elements of the others. Small sets that
+    can be partners of larger ones are in both. rest: elements of the set from this one on in the order
+    of rarity, which bounds what a pair can share if this is the first element it shares."""
     meets = need(boundary + 1, num, den)
 
     def run(frames):
         for frame in frames:
-            keys, classes, sizes = [], [], []
+            keys, classes, sizes, rests = [], [], [], []
             for name, size, raw, rare in zip(frame["class"], frame["size"], frame["tokens"], frame["rare"]):
-                own = []
+                own, rest = [], []
                 if size <= boundary:
                     elements = np.frombuffer(raw, np.uint64)
                     for o in subset_sizes(size, num, den):
@@ -231,13 +232,17 @@ def _index_rows(boundary, num, den):
                             picks = np.array(list(combinations(range(len(elements)), o)))
                             sums = (elements[picks] * _MULTIPLIERS[:o]).sum(axis=1, dtype=np.uint64) + np.uint64(o)
                             own.append(mix(mix(sums) + np.uint64(1)))
+                            rest.append(np.full(len(picks), size))
                 if size > boundary or size >= meets:
                     own.append(np.frombuffer(rare, np.uint64))
+                    rest.append(len(raw) // 8 - np.arange(len(rare) // 8))
                 own = np.concatenate(own) if own else np.zeros(0, np.uint64)
                 keys.append(own)
+                rests.append(np.concatenate(rest) if rest else np.zeros(0, np.int64))
                 classes += [name] * len(own)
                 sizes += [size] * len(own)
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64) if keys else [], "class": classes, "size": sizes})
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64) if keys else [], "class": classes, "size": sizes,
+                                "rest": np.concatenate(rests) if rests else []})
     return run
 
 
@@ -254,8 +259,10 @@ def _boundary(survivors: DataFrame, num: int, den: int) -> int:
     return at
 
 
-def _compatible(s, t, num, den):
-    return F.least(s, t) * F.lit(den) >= F.greatest(s, t) * F.lit(num)
+def _possible(s, t, rest_s, rest_t, num, den):
+    """Whether sets of these sizes can share enough if they first meet with so many elements left."""
+    s, t, rest_s, rest_t = map(F.col, (s, t, rest_s, rest_t))
+    return (F.least(s, t) * F.lit(den) >= F.greatest(s, t) * F.lit(num)) & (F.least(rest_s, rest_t) * F.lit(num + den) >= (s + t) * F.lit(num))
 
 
 def _verify(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataFrame:
@@ -285,25 +292,29 @@ def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int) -
 
     boundary = _boundary(survivors, num, den)
     index = materialize(survivors.select("class", "size", "tokens", "rare").mapInPandas(
-        _index_rows(boundary, num, den), "key long, class binary, size long"), "lists")
-
-    first = F.min(F.struct(F.xxhash64("class", "key").alias("h"), F.col("class").alias("pivot"), F.col("size").alias("pivot_size")))
-    pivots = index.groupBy("key").agg(first.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "p.pivot", "p.pivot_size")
+        _index_rows(boundary, num, den), "key long, class binary, size long, rest long"), "lists")
+
+    # The pivot of a list is the member with most elements left: of near copies, the least altered one.
+    # Tables that are joined on the key of the lists are written first, so that a join of two plain
+    # shuffles can split a long list.
+    first = F.max(F.struct("rest", F.xxhash64("class", "key").alias("h"), F.col("class").alias("pivot"), F.col("size").alias("pivot_size")))
+    pivots = materialize(index.groupBy("key").agg(first.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                         .select("key", "p.pivot", "p.pivot_size", F.col("p.rest").alias("pivot_rest")), "pivots")
     pairs = materialize(
-        index.join(pivots, "key").where((F.col("class") != F.col("pivot")) & _compatible(F.col("size"), F.col("pivot_size"), num, den))
+        index.join(pivots, "key").where((F.col("class") != F.col("pivot")) & _possible("size", "pivot_size", "rest", "pivot_rest", num, den))
         .select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "pairs")
     links = materialize(_verify(pairs, survivors, num, den), "links")
     found = components(links, "a", "b")
 
     # Members of a list that are still apart: the rest of the list against its largest component.
     placed = materialize(index.join(found.withColumnRenamed("node", "class"), "class", "left")
-                         .select("key", "class", "size", F.coalesce("root", "class").alias("root")), "placed")
+                         .select("key", "class", "size", "rest", F.coalesce("root", "class").alias("root")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = (parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-            .where("roots > 1").select("key", "main"))
-    open_lists = placed.join(most, "key")
-    others = open_lists.where("root != main").select("key", F.col("class").alias("c"), F.col("size").alias("z"), F.col("root").alias("r"))
-    apart = (open_lists.join(others, "key").where((F.col("root") != F.col("r")) & _compatible(F.col("size"), F.col("z"), num, den))
+    most = materialize(parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+                       .where("roots > 1").select("key", "main"), "mains")
+    open_lists = materialize(placed.join(most, "key"), "open")
+    others = open_lists.where("root != main").select("key", F.col("class").alias("c"), F.col("size").alias("z"), F.col("root").alias("r"), F.col("rest").alias("y"))
+    apart = (open_lists.join(others, "key").where((F.col("root") != F.col("r")) & _possible("size", "z", "rest", "y", num, den))
              .select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct())
     more = materialize(_verify(apart.join(pairs, ["a", "b"], "left_anti"), survivors, num, den), "links")
     if more.isEmpty():

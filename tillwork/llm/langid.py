@@ -106,8 +106,8 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its probability; `und` and 0 for a text without a letter."""
-        if text is None or not any(map(str.isalpha, text)):
+        """Language and its probability; `und` and 0 for a text without a letter, or if no language is known."""
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, x = _vector(text, self.idf)
         p = _softmax(x @ self.weights[at] / self.temperature)
@@ -145,7 +145,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           settings: Settings = Settings()) -> Model:
     """Learn from rows with text and language. Document frequencies cover all of them; the weights
     come from at most `sample_per_lang` documents of each language, those with the smallest hash of the
-    id (of rows that repeat an id and language, one). A part of the sample is a bounded number of documents, whatever the table's size."""
+    id (of rows that repeat an id and language, one). A part of
+    the sample is a bounded number of documents, whatever the table's size. Without such rows the
+    model knows no language."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counted = known.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
     df = np.zeros(BUCKETS + 1)
@@ -155,7 +157,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())     # names of languages
     if not langs:
-        raise ValueError("no labelled text")
+        return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
     names = F.array(*[F.lit(x) for x in langs])
     # The rank limit is applied in each task before the shuffle; the stated length bounds the broadcast.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))

@@ -192,6 +192,10 @@ class Model:
     scale: float
     shift: float
 
+    @classmethod
+    def constant(cls, share: float) -> "Model":
+        return cls(np.zeros(WIDTH + 3), 0.0, float(np.log(share / (1 - share))))
+
     def scores(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the lines' probabilities of being good; lines count one byte at least."""
         moves = np.array([[0.0, self.weights[WIDTH]], [self.weights[WIDTH + 1], self.weights[WIDTH + 2]]])
@@ -255,12 +259,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           sample_per_label: int = 3000, ridge: float = 1e-3, steps: int = 40) -> Model:
     """Fit on a sample of at most `sample_per_label` documents of each label, those with the smallest
     hash of the id. Labels other than 0 and 1 are ignored; of several labels of one id the smallest
-    counts; an id that repeats brings each of its texts. Labels of both kinds are needed."""
+    counts; an id that repeats brings each of its texts.
+    Without sampled texts of both labels the score of every text is the smoothed share of label 1."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label")).where("_id is not null")
     known = materialize(known, "labels")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     if set(totals) != {0, 1}:
-        raise ValueError("labels of both kinds are needed")
+        return Model.constant(prior)
     # Two top lists of a stated length; that length bounds the broadcast.
     picked = [known.where(F.col("label") == v).orderBy(F.xxhash64("_id"), "_id").limit(sample_per_label) for v in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
@@ -268,6 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = materialize(taken.mapInArrow(_sample_features, "label int, features binary, sizes binary"), "line-features")
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
+    if set(counts) != {0, 1}:
+        return Model.constant(prior)
 
     def value(w: np.ndarray):
         parts = sample.mapInPandas(_gradient(w), "loss double, slope array<double>, n long").collect()   # one row per batch

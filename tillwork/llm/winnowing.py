@@ -27,22 +27,39 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(folded, F.lit("")), _NOT_WORD), "")
 
 
-def _gram_hashes(words: Column, n: Column, k: int) -> Column:
-    """Hash of the k-gram at each position."""
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(
-        F.array().cast("array<bigint>"))
-
-
-def _window_minima(hashes: Column, width: int) -> Column:
-    """Minimum of each `width` neighbours, distinct, by doubling: m2 = min of 2, m4 = min of 4, ..."""
-    covered, out = 1, hashes
+def _gram_hashes(words: str, k: int, salt: int | None = None) -> Column:
+    """Hash of the k-gram at each position of a column of words."""
+    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    seed = [] if salt is None else [F.lit(salt)]
+    return F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), lambda i: F.xxhash64(*seed, F.slice(words, i, k)))
+
+
+def _anchors(df: DataFrame, key: str, k: int, window: int, salt: int | None = None) -> DataFrame:
+    """(key, pos, print, length, left, around): each k-gram with the words that windows around it can
+    reach, `left` of them before it. A row holds those words only, however long the text is."""
+    reach = window - k
+    n = F.greatest(F.size("words") - (k - 1), F.lit(0))
+    seed = [] if salt is None else [F.lit(salt)]
+
+    def anchor(i):
+        left = F.least(i - 1, F.lit(reach))
+        return F.struct((i - 1).alias("pos"), F.xxhash64(*seed, F.slice("words", i, k)).alias("print"), left.alias("left"),
+                        F.slice("words", i - left, left + k + reach).alias("around"))
+
+    grams = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), anchor)
+    return df.select(key, F.explode(grams).alias("a")).select(key, "a.*", F.lit(window).alias("length"))
+
+
+def _with_minima(df: DataFrame, hashes: str, width: int) -> DataFrame:
+    """Column `hashes` replaced by the distinct minima of each `width` neighbours, by doubling: of 2,
+    of 4, ... Each step is a projection of its own, since it looks at the step before twice. The last
+    few windows are cut short by the end of the text, which adds fingerprints and loses none."""
+    covered = 1
     while covered < width:
         step = min(covered, width - covered)
-        # The last `step` entries have no partner: they end the array and are cut off.
-        out = F.filter(F.zip_with(out, F.slice(out, F.lit(step + 1), F.greatest(F.size(out) - step, F.lit(0))),
-                                  lambda a, b: F.when(b.isNotNull(), F.least(a, b))), lambda x: x.isNotNull())
+        df = df.withColumn(hashes, F.zip_with(hashes, F.slice(hashes, step + 1, F.size(hashes)), lambda a, b: F.least(a, b)))
         covered += step
-    return F.array_distinct(out)
+    return df.withColumn(hashes, F.array_distinct(hashes))
 
 
 def _fit(df: DataFrame) -> DataFrame:
@@ -67,37 +84,33 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     known = materialize(known, "items").withColumn("item", F.xxhash64("item_id", "item_words"))
     lengths = sorted(r[0] for r in known.where(F.col("size") < window).select("size").distinct().collect())   # below `window` many
 
-    full = known.where(F.col("size") >= window).select("item", "item_words", "size")
-    hashed = full.withColumn("hashes", _gram_hashes(F.col("item_words"), F.col("size"), k))
-    minima = hashed.select("item", F.explode(_window_minima(F.col("hashes"), width)).alias("print"))
-    places = hashed.select("item", F.posexplode("hashes").alias("at", "print")).join(minima, ["item", "print"], "left_semi")
+    full = known.where(F.col("size") >= window).select("item", F.col("item_words").alias("words"))
+    minima = _with_minima(full.select("item", _gram_hashes("words", k).alias("hashes")), "hashes", width).select("item", F.explode("hashes").alias("print"))
+    places = _anchors(full, "item", k, window).join(minima, ["item", "print"], "left_semi")
     for n in lengths:
-        short = known.where(F.col("size") == n).select("item", F.lit(0).alias("at"), _short_hash(F.col("item_words"), n).alias("print"))
-        places = places.unionByName(short)
-    places = materialize(places.distinct(), "prints")
-    prints = places.select("print").distinct()
+        short = known.where(F.col("size") == n).select("item", F.col("item_words").alias("words"))
+        places = places.unionByName(_anchors(short, "item", n, n, n))
+    # Places of one item with the same surroundings are one, so a repeated word does not multiply them.
+    places = materialize(places.drop("pos").distinct(), "prints")
 
-    texts = held.select("id", "text", word_list(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    suspect = _suspects(texts, prints, lengths, window, k, width)
-    found = materialize(held.select(row_key(F.col("id"), F.col("text")).alias("row"), word_list(F.col("text")).alias("words"))
-                        .join(_fit(suspect), "row", "left_semi").dropDuplicates(["row"]).withColumn("n", F.size("words")), "suspects")
+    suspect = _suspects(held, places.select("print").distinct(), lengths, window, k, width)
+    found = materialize(held.select(row_key(F.col("id"), F.col("text")).alias("row"), "text").join(_fit(suspect), "row", "left_semi")
+                        .dropDuplicates(["row"]).select("row", word_list(F.col("text")).alias("words")), "suspects")
 
-    grams = [found.where(F.col("n") >= k).select("row", F.posexplode(_gram_hashes(F.col("words"), F.col("n"), k)).alias("pos", "print"))]
+    spread = _anchors(found, "row", k, window)
     for n in lengths:
-        grams.append(found.where(F.col("n") >= n).select("row", F.posexplode(_short_hashes(F.col("words"), F.col("n"), n)).alias("pos", "print")))
-    spread = grams[0]
-    for part in grams[1:]:
-        spread = spread.unionByName(part)
-    aligned = spread.join(_fit(places), "print").select("row", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-
-    bodies = known.select("item", "item_words", "size").dropDuplicates(["item"])
-    wide = aligned.join(found, "row").join(_fit(bodies), "item")
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.col("size"), F.col("n") - F.col("shift"))
-    length = F.least(F.col("size"), F.lit(window))
-    agree = F.when(high - length >= low, F.filter(F.sequence(low, high - length), lambda j: F.slice(F.col("words"), (F.col("shift") + j + 1).cast("int"), length)
-                                                  == F.slice(F.col("item_words"), (j + 1).cast("int"), length)))
-    hits = materialize(wide.select("row", "item", "shift", length.alias("length"), F.explode(agree).alias("j"))
-                       .select("row", "item", (F.col("shift") + F.col("j")).alias("start"), "length").distinct(), "hits")
+        spread = spread.unionByName(_anchors(found, "row", n, n, n))
+    met = spread.join(_fit(places.withColumnRenamed("left", "item_left").withColumnRenamed("around", "item_around")), ["print", "length"])
+
+    # Extension: every window around the shared k-gram that agrees word by word.
+    def agrees(back):
+        mine = F.slice("around", F.greatest(F.col("left") - back + 1, F.lit(1)), F.col("length"))
+        theirs = F.slice("item_around", F.greatest(F.col("item_left") - back + 1, F.lit(1)), F.col("length"))
+        return (back <= F.col("left")) & (back <= F.col("item_left")) & (F.size(mine) == F.col("length")) & (mine == theirs)
+
+    steps = F.filter(F.sequence(F.lit(0), F.lit(window - k)), agrees)
+    hits = materialize(met.select("row", "item", "length", "pos", F.explode(steps).alias("back"))
+                       .select("row", "item", (F.col("pos") - F.col("back")).alias("start"), "length").distinct(), "hits")
 
     words_hit = (hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct()
                  .groupBy("row").agg(F.count(F.lit(1)).alias("n_hit")))
@@ -112,22 +125,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.col("n_hit").isNotNull().alias("contaminated"))
 
 
-def _short_hash(words: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), words)
-
-
-def _short_hashes(words: Column, size: Column, n: int) -> Column:
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice(words, i, n)))).otherwise(
-        F.array().cast("array<bigint>"))
-
-
-def _suspects(texts, prints, lengths, window, k, width) -> DataFrame:
+def _suspects(held, prints, lengths, window, k, width) -> DataFrame:
     """Keys of the documents that share a fingerprint with an item."""
-    own = F.when(F.col("n") >= window, _window_minima(_gram_hashes(F.col("words"), F.col("n"), k), width)).otherwise(F.array().cast("array<bigint>"))
+    texts = held.select("id", "text", word_list(F.col("text")).alias("words"))
+    own = texts.select("id", "text", "words", _gram_hashes("words", k).alias("hashes"))
+    own = _with_minima(own, "hashes", width)
     for n in lengths:
-        own = F.concat(own, F.array_distinct(_short_hashes(F.col("words"), F.col("n"), n)))
-    spread = texts.select(row_key(F.col("id"), F.col("text")).alias("row"), F.explode(own).alias("print"))
-    return materialize(spread.join(_fit(prints), "print", "left_semi").select("row").distinct(), "suspect-rows")
+        own = own.withColumn("hashes", F.concat("hashes", F.array_distinct(_gram_hashes("words", n, n))))
+    spread = own.select("id", "text", F.explode("hashes").alias("print"))
+    return materialize(spread.join(_fit(prints), "print", "left_semi").select(row_key(F.col("id"), F.col("text")).alias("row")).distinct(), "suspect-rows")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
