@@ -19,6 +19,7 @@ import re
 import sys
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from tillwork.llm.common import send_by_value
 
 MARK = "▁"             # stands for a space
 UNKNOWN_PENALTY = 10.0      # a character outside the vocabulary scores this much below the worst piece
-CACHE_WORDS = 200_000       # distinct words whose best path a task remembers; a full memory starts anew
+CACHE_WORDS = 400_000       # distinct words whose best path a task remembers; a full memory starts anew
 CACHE_LENGTH = 64           # longer words are not remembered
 
 
@@ -45,6 +46,13 @@ class Vocabulary:
     whole_lines: bool                       # no piece contains a line feed
     cache: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        # Every piece and every prefix of one: its score, or None for what is a prefix only.
+        self.table = {p: None for p in self.prefixes} | {p: s for p, (_, s) in self.scores.items()}
+        self.spelling = [p.replace(MARK, " ").encode("utf-8") for p in self.pieces]
+        if self.bytes_from is not None:
+            self.spelling[self.bytes_from:self.bytes_from + 256] = [bytes([b]) for b in range(256)]
+
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,11 +70,8 @@ class Vocabulary:
         return cls(plain, {p[:j] for p in plain for j in range(1, len(p))}, pieces, next((i for i in range(n) if model.is_byte(i)), None),
                    model.unk_id(), floor, not any("\n" in p for p in plain))
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state, cache={})
+_NO_PREFIX = object()
 
 
 def edges(v: Vocabulary, word: str) -> list[list[tuple[int, str | None, float]]]:
@@ -104,26 +109,38 @@ def _ids(v: Vocabulary, path: list[str | None], word: str, cuts: list[int]) -> l
 def viterbi(v: Vocabulary, word: str) -> tuple[float, list[int], float]:
     """(best score, its ids, smallest detour: how much the second best segmentation is worse, or
     infinity). Of equal scores the longer last piece wins, at every node."""
-    into = edges(v, word)
-    best = [0.0] * (len(word) + 1)
-    back: list[tuple[int, str | None]] = [(0, None)] * (len(word) + 1)
-    gap = [float("inf")] * (len(word) + 1)
-    for j in range(1, len(word) + 1):
-        top, second, via = float("-inf"), float("-inf"), (0, None)
-        for i, piece, score in into[j]:
-            s = best[i] + score
-            if s > top:
-                top, second, via = s, top, (i, piece)
-            elif s > second:
-                second = s
-        best[j], back[j], gap[j] = top, via, top - second
-    at, path, cuts, detour = len(word), [], [], float("inf")
+    n, table, fallback, low = len(word), v.table, v.floor - UNKNOWN_PENALTY, float("-inf")
+    best, second, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        base, j = best[i], i + 1
+        score = table.get(word[i:j], _NO_PREFIX)
+        if score is None or score is _NO_PREFIX:
+            total = base + fallback
+            if total > best[j]:
+                second[j], best[j], back[j] = best[j], total, i
+            elif total > second[j]:
+                second[j] = total
+        while score is not _NO_PREFIX:
+            if score is not None:
+                total = base + score
+                if total > best[j]:
+                    second[j], best[j], back[j] = best[j], total, i
+                elif total > second[j]:
+                    second[j] = total
+            j += 1
+            if j > n:
+                break
+            score = table.get(word[i:j], _NO_PREFIX)
+    at, ids, detour = n, [], float("inf")
     while at:
-        detour = min(detour, gap[at])
-        at, piece = back[at]
-        path.append(piece)
-        cuts.append(at)
-    return best[-1], _ids(v, path[::-1], word, cuts[::-1]), detour
+        detour = min(detour, best[at] - second[at])
+        start = back[at]
+        known = v.scores.get(word[start:at])
+        ids.extend((known[0],) if known else reversed(_spelled(v, word[start])))
+        at = start
+    ids.reverse()
+    return best[n], ids, detour
 
 
 def n_best(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
@@ -166,35 +183,39 @@ def split_words(v: Vocabulary, text: str) -> list[str | None]:
     return words
 
 
+def _remember(v: Vocabulary, word: str | None) -> tuple[bytes, int, float, float]:
+    """(packed ids, their number, score, smallest detour) of a word, kept for the next time."""
+    score, ids, detour = viterbi(v, word) if word is not None else (v.floor - UNKNOWN_PENALTY, _spelled(v, MARK), float("inf"))
+    known = (np.array(ids, "<i4").tobytes(), len(ids), score, detour)
+    if word is None or len(word) <= CACHE_LENGTH:
+        if len(v.cache) >= CACHE_WORDS:
+            v.cache.clear()
+        v.cache[word] = known
+    return known
+
+
+def _smallest(values: list[float], k: int) -> list[int]:
+    """Places of the k smallest finite values in order of place; of equal ones the first."""
+    if k < 1 or not values:
+        return []
+    array = np.array(values)
+    limit = np.partition(array, k - 1)[k - 1] if len(array) > k else np.inf
+    less, equal = np.flatnonzero(array < limit), np.flatnonzero(array == limit)
+    picked = np.sort(np.r_[less, equal[:k - len(less)]]) if np.isfinite(limit) else less
+    return picked.tolist()
+
+
 def encode_text(v: Vocabulary, text: str, n: int) -> tuple[bytes, int, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
     """(ids as packed int32, their number, best score, alternatives). An alternative is its score and
     the edits that turn the best ids into it: (first id, ids replaced, new ids)."""
-    cache, packed, lengths, total, detours = v.cache, [], [], 0.0, []
-    words = split_words(v, text)
-    for at, word in enumerate(words):
-        known = cache.get(word)
-        if known is None:
-            score, ids, detour = viterbi(v, word) if word is not None else (v.floor - UNKNOWN_PENALTY, _spelled(v, MARK), float("inf"))
-            known = (b"".join(i.to_bytes(4, "little") for i in ids), len(ids), score, detour)
-            if word is None or len(word) <= CACHE_LENGTH:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                cache[word] = known
-        raw, length, score, detour = known
-        packed.append(raw)
-        lengths.append(length)
-        total += score
-        if n > 1:
-            if len(detours) < n - 1:
-                heapq.heappush(detours, (-detour, -at))
-            elif -detour > detours[0][0]:
-                heapq.heapreplace(detours, (-detour, -at))
+    cache, words = v.cache, split_words(v, text)
+    found = [cache.get(word) or _remember(v, word) for word in words]
+    lengths = [f[1] for f in found]
+    total = sum(f[2] for f in found)
     options: list[tuple[float, list[tuple[int, list[int]]]]] = [(0.0, [])]   # (loss, changed words)
-    for negative, at in sorted(detours, key=lambda d: -d[1]):
-        if negative == float("-inf"):
-            continue
-        own = n_best(v, words[-at], n)
-        spread = [(loss, change) if k == 0 else (loss + own[0][0] - score, [*change, (-at, ids)])
+    for at in _smallest([f[3] for f in found], n - 1):
+        own = n_best(v, words[at], n)
+        spread = [(loss, change) if k == 0 else (loss + own[0][0] - score, [*change, (at, ids)])
                   for loss, change in options for k, (score, ids) in enumerate(own)]
         options = heapq.nsmallest(n, spread, key=lambda o: o[0])
     starts = None
@@ -206,26 +227,13 @@ def encode_text(v: Vocabulary, text: str, n: int) -> tuple[bytes, int, float, li
                 starts.append(run)
                 run += length
         alternatives.append((total - loss, [(starts[w], lengths[w], ids) for w, ids in change]))
-    return b"".join(packed), sum(lengths), total, alternatives
+    return b"".join([f[0] for f in found]), sum(lengths), total, alternatives
 
 
 def decode_ids(v: Vocabulary, ids) -> str:
-    """The text of a list of ids: byte pieces joined to UTF-8, marks turned into spaces, the mark
-    before the first word dropped."""
-    out, raw = [], bytearray()
-    low = v.bytes_from if v.bytes_from is not None else len(v.pieces)
-    high = low + 256
-    for i in ids:
-        if low <= i < high:
-            raw.append(i - low)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(v.pieces[i].replace(MARK, " "))
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out)
+    """The text of a list of ids: pieces and byte pieces joined as UTF-8, marks turned into spaces, the
+    mark before the first word dropped."""
+    text = b"".join(map(v.spelling.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -266,8 +274,6 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id",
 
 def _decode_rows(path: str, names: list[str]):
     def run(batches):
-        import numpy as np
-
         v = Vocabulary.load(path)
         for batch in batches:
             raws = batch.column(batch.schema.get_field_index("_pieces")).to_pylist()

@@ -45,7 +45,7 @@ def lookup_table(shards: DataFrame, name_col: str = "shard", slots: int = DEFAUL
         return ((shard["offset"].cast("long") + k.cast("long") * shard["step"]) % slots).cast("int")
 
     def turn(taken: Column, t: Column) -> Column:
-        at = t % F.col("n")
+        at = t % F.greatest(F.col("n"), F.lit(1))      # also evaluated where no shard is left
         shard = F.get("shards", at)
         free = F.get(F.filter(places, lambda k: F.get(taken, slot(shard, k)) < 0), F.lit(0))
         # An array of one element binds the claimed slot, so that it is found once and not at every place.
