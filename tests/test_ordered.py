@@ -71,6 +71,41 @@ def test_sliding_sums_count_peers_and_both_edges(spark, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [10**6, 2])
+def test_sliding_sums_of_frames_without_values_are_null(spark, limit):
+    rows = [("c", 0, 1, 5), ("c", 10, 2, None), ("c", 20, 3, 7), ("c", 20, 4, -7), ("d", 0, 5, None)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long")
+    out = sliding_sums(df, ["k"], "t", "id", {"s": (F.col("v"), 1)}, limit=limit)
+    assert {r["id"]: r["s"] for r in out.collect()} == {1: 5, 2: None, 3: 0, 4: 0, 5: None}
+
+
+def test_only_busy_keys_are_cut_into_segments_of_bounded_size(spark, monkeypatch):
+    pinned = []
+    keep = ordered.materialize
+
+    def watch(df, label):
+        out = keep(df, label)
+        if label == "segments":
+            pinned.append(out)
+        return out
+    monkeypatch.setattr(ordered, "materialize", watch)
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    out = scan(df, ["k"], ["id"], [Running("n", "count", F.col("id"))], limit=1000)
+    assert out.where("k = -1").agg(F.max("n")).first()[0] == 40_000 and out.count() == 60_000
+    sizes = pinned[0].groupBy("_seg").count().collect()
+    assert {r["k"] for r in pinned[0].select("k").distinct().collect()} == {-1}
+    assert max(r["count"] for r in sizes) <= 2000 and len(sizes) >= 40
+
+
+def test_zscore_of_large_nearly_equal_amounts(spark):
+    amounts = [1_000_000 + (i % 2) / 100 for i in range(60)]
+    rows = spark.createDataFrame([("m", i, str(i).zfill(3), a) for i, a in enumerate(amounts)], "merchant_id string, _at long, transaction_id string, a double")
+    got = [r[0] for r in features.merchant_zscore(rows.withColumn("amount", F.col("a").cast("decimal(18,2)"))).orderBy("_at").select("merchant_amount_zscore").collect()]
+    for i in range(30, 60):
+        past = np.array([j % 2 for j in range(i)])
+        assert got[i] == pytest.approx((i % 2 - past.mean()) / past.std(ddof=1), rel=1e-9)
+
+
 def test_features_are_the_same_when_every_key_is_split(spark, sf):
     def run():
         out = features.windowed_features(timed_events(spark, sf).drop("_at"))

@@ -28,7 +28,3 @@ def latest_with_ties(df: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
-
-def row_cap(df: DataFrame, limit: int = 200) -> DataFrame:
-    """Rows an interactive caller may fetch."""
-    return df.limit(limit)

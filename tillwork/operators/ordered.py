@@ -1,9 +1,10 @@
 """Ordered computations per key that stay balanced when one key holds a large share of the rows.
 
-A plain window sends a whole key to one task. `scan` uses one while the largest group is small
-(checked); otherwise it range-partitions the rows on (key, order), pins the segments, summarises
-each (key, segment), carries the summaries forward and finishes inside segments. A segment has at
-most one key continuing from the segment before, so the carries number at most the segments.
+A plain window sends a whole key to one task. `scan` uses one for every key of at most `limit` rows.
+The rows of larger keys are range-partitioned on (key, order) into segments of about half that many
+rows, pinned, summarised per (key, segment), and finished inside segments with the summaries carried
+forward. A segment has at most one key continuing from the segment before, so the carries number at
+most the segments.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.session import hot_rows, materialize
+from tillwork.session import hot_rows, materialize, small
 
 _SEG = "_seg"
 # Rows per key up to which re-reading a sliding frame on every row is cheaper than splitting it.
@@ -43,16 +44,43 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], outputs: Sequence[Running],
          limit: int | None = None, largest: int | None = None) -> DataFrame:
-    """Add running values per `by` in ascending `order` (which must order the rows totally)."""
+    """Add running values per `by` in ascending `order` (which must order the rows totally).
+
+    `largest`, if known, is the size of the largest group and saves counting when that is at most `limit`.
+    """
     limit = hot_rows(df.sparkSession) if limit is None else limit
-    largest = largest_group(df, by) if largest is None else largest
     keep = df.columns
     held = df.select("*", *[o.value.alias(f"_v{i}") for i, o in enumerate(outputs)])
-    if largest <= limit:
-        window = Window.partitionBy(*by).orderBy(*order)
-        return held.select(*keep, *[_within(o, f"_v{i}", window).alias(o.name)
-                                    for i, o in enumerate(outputs)])
-    return _segmented(held, keep, by, order, outputs)
+    busy, rows = (None, 0) if largest is not None and largest <= limit else busy_keys(df, by, limit)
+    if not rows:
+        return _plain(held, keep, by, order, outputs)
+    if not by:
+        return _segmented(held, keep, by, order, outputs, segments(rows, limit))
+    same = reduce(lambda a, b: a & b, [held[k].eqNullSafe(busy[f"_b_{k}"]) for k in by])
+    # A busy key has more than `limit` rows, so there are few of them; `small` checks that.
+    listed = small(busy)
+    cold = _plain(held.join(listed, same, "left_anti"), keep, by, order, outputs)
+    hot = _segmented(held.join(listed, same, "left_semi"), keep, by, order, outputs, segments(rows, limit))
+    return cold.unionByName(hot)
+
+
+def busy_keys(df: DataFrame, by: Sequence[str], limit: int) -> tuple[DataFrame | None, int]:
+    """The keys of more than `limit` rows (columns `_b_<key>`), pinned, and how many rows they have.
+    Counted in one pass."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    busy = materialize(sizes.select(*[F.col(k).alias(f"_b_{k}") for k in by], "_n"), "busy")
+    rows = busy.agg(F.sum("_n")).first()[0] or 0
+    return busy.drop("_n"), rows
+
+
+def segments(rows: int, limit: int) -> int:
+    """Segments for so many rows: half of `limit` on average, since range bounds are estimates."""
+    return max(2, -(-2 * rows // max(limit, 1)))
+
+
+def _plain(held, keep, by, order, outputs) -> DataFrame:
+    window = Window.partitionBy(*by).orderBy(*order)
+    return held.select(*keep, *[_within(o, f"_v{i}", window).alias(o.name) for i, o in enumerate(outputs)])
 
 
 def _within(out: Running, value: str, window) -> Column:
@@ -64,8 +92,7 @@ def _within(out: Running, value: str, window) -> Column:
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[out.kind](value).over(frame)
 
 
-def _segmented(held, keep, by, order, outputs) -> DataFrame:
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _segmented(held, keep, by, order, outputs, parts: int) -> DataFrame:
     ranged = held.repartitionByRange(parts, *by, *order).withColumn(_SEG, F.spark_partition_id())
     pinned = materialize(ranged, "segments")
 
@@ -99,7 +126,7 @@ def _segmented(held, keep, by, order, outputs) -> DataFrame:
                .where("_prior > 0"))
 
     same = [pinned[k].eqNullSafe(carries[f"_k_{k}"]) for k in by] + [pinned[_SEG] == carries["_k_seg"]]
-    joined = pinned.join(F.broadcast(carries), reduce(lambda a, b: a & b, same), "left")
+    joined = pinned.join(small(carries), reduce(lambda a, b: a & b, same), "left")
     window = Window.partitionBy(*by, _SEG).orderBy(*order)
     types = {f"_v{i}": t for i, t in enumerate(_result_types(held, outputs, by, order))}
     results = []
@@ -130,7 +157,8 @@ def _result_types(held, outputs, by, order):
 def sliding_sums(df: DataFrame, by: Sequence[str], micros: str, tie: str,
                  outputs: dict[str, tuple[Column, int]], limit: int | None = None,
                  largest: int | None = None) -> DataFrame:
-    """Sums over the `width` microseconds up to and including each row's time, peers included.
+    """Sums over the `width` microseconds up to and including each row's time, peers included; null
+    where the frame holds no value.
 
     Spark re-reads the frame on every row, which is quadratic for a busy key. Past `limit` rows
     per key each value becomes an entry at its time and an exit just after it leaves the frame,
@@ -149,21 +177,24 @@ def sliding_sums(df: DataFrame, by: Sequence[str], micros: str, tie: str,
     row = F.struct(*df.columns)
 
     def change(at, kind, index, sign, payload):
-        deltas = [(F.col(f"_w{i}") * sign if index in (i, None) else F.lit(0)).cast(types[i]).alias(f"_d{i}")
-                  for i in range(len(names))]
+        # Each value comes with a count, which tells an empty frame from one that sums to 0.
+        deltas = [d for i in range(len(names)) for d in (
+            (F.col(f"_w{i}") * sign if index in (i, None) else F.lit(0)).cast(types[i]).alias(f"_d{i}"),
+            (F.col(f"_w{i}").isNotNull().cast("int") * sign if index in (i, None) else F.lit(0)).cast("long").alias(f"_n{i}"))]
         return F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), *deltas, payload.alias("_row"))
 
     nothing = F.when(F.lit(False), row)
     changes = [change(F.col(micros), 0, None, 1, nothing)]
     changes += [change(F.col(micros) + (outputs[n][1] + 1), 0, i, -1, nothing) for i, n in enumerate(names)]
     asks = F.struct(F.col(micros).alias("_at"), F.lit(1).alias("_kind"),
-                    *[F.lit(0).cast(t).alias(f"_d{i}") for i, t in enumerate(types)], row.alias("_row"))
+                    *[d for i, t in enumerate(types) for d in (F.lit(0).cast(t).alias(f"_d{i}"), F.lit(0).cast("long").alias(f"_n{i}"))],
+                    row.alias("_row"))
     stream = (typed.select(*by, F.col(tie).alias("_tie"), F.explode(F.array(*changes, asks)).alias("_e"))
               .select(*by, "_tie", "_e.*"))
     summed = scan(stream, by, ["_at", "_kind", "_tie"],
-                  [Running(n, "sum", F.col(f"_d{i}")) for i, n in enumerate(names)], largest=largest,
+                  [r for i, n in enumerate(names) for r in (Running(n, "sum", F.col(f"_d{i}")), Running(f"_held{i}", "sum", F.col(f"_n{i}")))],
                   limit=limit)
-    return summed.where("_kind = 1").select("_row.*", *names)
+    return summed.where("_kind = 1").select("_row.*", *[F.when(F.col(f"_held{i}") > 0, F.col(n)).alias(n) for i, n in enumerate(names)])
 
 
 def asof_left(left: DataFrame, right: DataFrame, left_time: str, right_time: str,

@@ -26,9 +26,10 @@ def not_null(df: DataFrame, column: str) -> DataFrame:
 
 
 def relationship(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Child rows whose key the parent lacks; null keys are not checked. The child keys are made
-    distinct first, so a key with very many rows reaches the join once."""
-    keys = child.select(column).where(F.col(column).isNotNull()).distinct()
+    """Keys that the parent lacks, each with the number of child rows that hold it (`n_records`); null
+    keys are not checked. Child rows are counted per key first, so a key with very many rows reaches
+    the join once."""
+    keys = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_records"))
     return keys.join(parent.select(F.col(parent_column).alias(column)), column, "left_anti")
 
 
@@ -138,11 +139,13 @@ def freshness(df: DataFrame, ts: str, now: datetime, warn_seconds: int = 900,
 
 @dataclass(frozen=True)
 class Check:
-    """A check that lists its offenders."""
+    """A check that lists its offenders. `weight` names the column that says how many failures an
+    offender stands for; without it each is one."""
 
     name: str
     offending: DataFrame
     severity: str = "error"
+    weight: str | None = None
 
 
 @dataclass(frozen=True)
@@ -169,7 +172,8 @@ def run_checks(checks: Sequence[Check | RowCheck]) -> DataFrame:
         if isinstance(check, RowCheck):
             tables.setdefault(id(check.table), []).append(check)
             continue
-        parts.append(check.offending.agg(F.count(F.lit(1)).alias("failures")).select(
+        failures = F.count(F.lit(1)) if check.weight is None else F.coalesce(F.sum(check.weight), F.lit(0)).cast("long")
+        parts.append(check.offending.agg(failures.alias("failures")).select(
             F.lit(check.name).alias("name"), F.lit(check.severity).alias("severity"), "failures"))
     for group in tables.values():
         counts = group[0].table.agg(*[F.count_if(c.offends).alias(f"c{i}") for i, c in enumerate(group)])

@@ -68,20 +68,22 @@ def card_gap(df: DataFrame, largest: int | None = None) -> DataFrame:
 
 def merchant_zscore(df: DataFrame, largest: int | None = None) -> DataFrame:
     """How unusual the amount is among the merchant's earlier ones; 0 before 30 of them or when
-    they are all equal. Sums are exact decimals, so the result does not depend on how a busy
-    merchant was split."""
+    they are all equal.
+
+    Sums are exact decimals, and so are the differences taken of them: n * q - s * s, which is the
+    variance times n * (n - 1), and n * amount - s. Only those become doubles, so nearly equal large
+    amounts lose nothing, and the result does not depend on how a busy merchant was split.
+    """
     amount = F.col("amount")
     prior = scan(df, ["merchant_id"], [_AT, "transaction_id"], [
         Running("_n", "count", amount, current=False), Running("_s", "sum", amount, current=False),
-        Running("_q", "sum", (amount * amount).cast("decimal(36,4)"), current=False),
-        Running("_lo", "min", amount, current=False), Running("_hi", "max", amount, current=False),
-    ], largest=largest)
-    n, s, q = F.col("_n").cast("double"), F.col("_s").cast("double"), F.col("_q").cast("double")
-    spread = F.sqrt((q - s * s / n) / (n - 1))
-    z = (amount.cast("double") - s / n) / spread
-    usable = (F.col("_n") >= MIN_MERCHANT_ROWS) & (F.col("_hi") > F.col("_lo"))
-    return (prior.withColumn("merchant_amount_zscore", F.when(usable, z).otherwise(0.0))
-            .drop("_n", "_s", "_q", "_lo", "_hi"))
+        Running("_q", "sum", (amount * amount).cast("decimal(36,4)"), current=False)], largest=largest)
+    n, s, q = F.col("_n").cast("decimal(12,0)"), F.col("_s").cast("decimal(19,2)"), F.col("_q").cast("decimal(25,4)")
+    spread = (n * q).cast("decimal(38,4)") - (s * s).cast("decimal(38,4)")
+    off = ((n * amount.cast("decimal(18,2)")).cast("decimal(38,2)") - s).cast("double") / F.col("_n")
+    z = off / F.sqrt(spread.cast("double") / (F.col("_n") * (F.col("_n") - 1)))
+    usable = (F.col("_n") >= MIN_MERCHANT_ROWS) & (spread > 0)
+    return prior.withColumn("merchant_amount_zscore", F.when(usable, z).otherwise(0.0)).drop("_n", "_s", "_q")
 
 
 def windowed_features(df: DataFrame) -> DataFrame:

@@ -239,8 +239,8 @@ def sync_by_hour(ingest_runs: DataFrame, now: datetime, days: int = 2) -> DataFr
                  F.sum("records_read").alias("records")).orderBy("hour"))
 
 
-def delivery_gaps(node_runs: DataFrame, minutes: int = 15, top: int = 20) -> DataFrame:
-    """Newest gaps between fact builds longer than `minutes`."""
+def delivery_gaps(node_runs: DataFrame, top: int, minutes: int = 15) -> DataFrame:
+    """The `top` newest gaps between fact builds longer than `minutes`."""
     built = (node_runs.where((F.col("name") == FACT) & (F.col("resource_type") == "model")
                              & (F.col("status") == "success"))
              .select("completed_at", "unique_id", micros("completed_at").alias("_at")))

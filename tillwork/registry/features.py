@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillwork.functions import scalars
 from tillwork.operators.dedupe import latest_by
 from tillwork.plans import features as feat
-from tillwork.registry.base import P_EVENTS, P_FCT, P_STG, query
+from tillwork.registry.base import P_EVENTS, P_FCT, P_STG, features_sql, query
 from tillwork.registry.payments import fct
 from tillwork.session import materialize
 from tillwork.sources import mapping
@@ -29,31 +29,12 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("label_mature", feat.label_mature("transaction_date", AS_OF)))
 
 
-E_FEATURES = P_EVENTS + """,
+E_FEATURES = P_EVENTS + "," + features_sql("p_events", "transaction_id", "card_token", "created_at", "amount", "merchant_id", "ip_country") + """,
 e_features as (
-  select transaction_id, card_token, merchant_id, amount, created_at, label,
-         count(*) over five as card_txn_count_5m,
-         sum(amount) over hour as card_amount_sum_1h,
-         date_diff('microsecond', lag(created_at) over card, created_at) / 1e6 as seconds_since_last_card_txn,
-         coalesce(ip_country is not null and count(ip_country) over before > 0
-                  and count(*) over country_before = 0, false) as is_new_ip_country,
-         case when count(*) over m >= 30 and stddev_samp(cast(amount as double)) over m > 0
-              then (cast(amount as double) - avg(cast(amount as double)) over m)
-                   / stddev_samp(cast(amount as double)) over m else 0 end as merchant_amount_zscore,
-         cast(created_at as date) as transaction_date,
-         cast(created_at as date) <= date '2024-03-01' - 45 as label_mature
-  from p_events
-  window card as (partition by card_token order by created_at, transaction_id),
-         five as (partition by card_token order by created_at
-                  range between interval 300 seconds preceding and current row),
-         hour as (partition by card_token order by created_at
-                  range between interval 3600 seconds preceding and current row),
-         before as (partition by card_token order by created_at, transaction_id
-                    rows between unbounded preceding and 1 preceding),
-         country_before as (partition by card_token, ip_country order by created_at, transaction_id
-                            rows between unbounded preceding and 1 preceding),
-         m as (partition by merchant_id order by created_at, transaction_id
-               rows between unbounded preceding and 1 preceding))"""
+  select transaction_id, card_token, merchant_id, amount, created_at, label, n5 as card_txn_count_5m, s1h as card_amount_sum_1h,
+         gap as seconds_since_last_card_txn, flag as is_new_ip_country, z as merchant_amount_zscore,
+         cast(created_at as date) as transaction_date, cast(created_at as date) <= date '2024-03-01' - 45 as label_mature
+  from p_events join feats on id = transaction_id)"""
 
 
 @query("card_window_features", f"""
@@ -121,36 +102,31 @@ TXN_AS_OF = date(1998, 9, 1)
 
 
 @query("txn_features", f"""
-    with {P_FCT}
-    select transaction_id, card_token, merchant_id, created_at, transaction_date, amount, currency, amount_cad,
+    with {P_FCT}, {features_sql("p_fct", "transaction_id", "card_token", "created_at", "amount", "merchant_id", "ip_country")}
+    select transaction_id, card_token, merchant_id, created_at, transaction_date, f.amount, currency, amount_cad,
            entry_mode, avs_result, cvv_result, three_ds_authenticated, network_risk_score, is_approved,
-           count(*) over five as card_txn_count_5m,
-           cast(sum(amount) over hour as decimal(28,2)) as card_amount_sum_1h,
-           date_diff('microsecond', lag(created_at) over card, created_at) / 1e6 as seconds_since_last_card_txn,
-           coalesce(ip_country is not null and count(ip_country) over before > 0
-                    and count(*) over country_before = 0, false) as is_new_ip_country,
-           has_fraud_chargeback as label,
-           round(case when count(*) over m >= 30 and stddev_samp(cast(amount as double)) over m > 0
-                then (cast(amount as double) - avg(cast(amount as double)) over m)
-                     / stddev_samp(cast(amount as double)) over m else 0 end, 6) as merchant_amount_zscore,
+           n5 as card_txn_count_5m, cast(s1h as decimal(28,2)) as card_amount_sum_1h, gap as seconds_since_last_card_txn,
+           flag as is_new_ip_country, has_fraud_chargeback as label, round(z, 6) as merchant_amount_zscore,
            transaction_date <= date '1998-09-01' - 45 as label_mature
-    from p_fct
-    window card as (partition by card_token order by created_at, transaction_id),
-           five as (partition by card_token order by created_at
-                    range between interval 300 seconds preceding and current row),
-           hour as (partition by card_token order by created_at
-                    range between interval 3600 seconds preceding and current row),
-           before as (partition by card_token order by created_at, transaction_id
-                      rows between unbounded preceding and 1 preceding),
-           country_before as (partition by card_token, ip_country order by created_at, transaction_id
-                              rows between unbounded preceding and 1 preceding),
-           m as (partition by merchant_id order by created_at, transaction_id
-                 rows between unbounded preceding and 1 preceding)""")
+    from p_fct f join feats on id = transaction_id""")
 def _(spark, sf_dir):
     out = feat.ml_transaction_features(materialize(fct(spark, sf_dir), "fct"), TXN_AS_OF)
     return out.withColumn("merchant_amount_zscore", F.round("merchant_amount_zscore", 6))
 
 
+@query("zscore_near_amounts", f"""
+    with {P_EVENTS},
+    shifted as (select transaction_id, card_token, merchant_id, created_at, ip_country,
+                       cast(1000000 + (transaction_id % 2) * 0.01 as decimal(18,2)) as amount from p_events),
+    {features_sql("shifted", "transaction_id", "card_token", "created_at", "amount", "merchant_id", "ip_country")}
+    select id as transaction_id, round(z, 6) as merchant_amount_zscore from feats""")
+def _(spark, sf_dir):
+    """Large amounts one cent apart."""
+    near = F.lit(1000000) + (F.col("transaction_id") % 2) * F.lit(0.01)
+    rows = timed_events(spark, sf_dir).withColumn("amount", near.cast("decimal(18,2)"))
+    return feat.merchant_zscore(rows).select("transaction_id", F.round("merchant_amount_zscore", 6).alias("merchant_amount_zscore"))
+
+
 @query("training_set", f"""
     with {P_FCT} select transaction_id, created_at from p_fct
     where is_approved and transaction_date <= date '1998-09-01' - 45""")

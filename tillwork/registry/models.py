@@ -118,13 +118,13 @@ def _(spark, sf_dir):
     """Train on the older mature rows and score every transaction."""
     rows = _training(spark, sf_dir)
     older, _newer = scoring.time_split(scoring.training_set(rows))
-    model = scoring.train(older, iterations=5, depth=3)
+    model = scoring.train(older)
     return scoring.score(rows, model).select("transaction_id", "fraud_score", "decision", "model_version")
 
 
 @query("train_and_compare")
 def _(spark, sf_dir):
-    run = scoring.train_and_compare(_training(spark, sf_dir), iterations=5)
+    run = scoring.train_and_compare(_training(spark, sf_dir))
     rows = [(k, float(v)) for k, v in run.metrics.items()] + [("promoted", float(run.promoted)), ("rows", float(run.rows))]
     return spark.createDataFrame(rows, "metric string, value double").unionAll(
         scoring.importances(run.model).select(F.concat(F.lit("importance/"), "feature").alias("metric"),

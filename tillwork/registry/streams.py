@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.registry.base import query
+from tillwork.registry.base import features_sql, query
 from tillwork.session import scratch_path
 from tillwork.streaming import events as source
 from tillwork.streaming import feature_stream as job
@@ -61,26 +61,15 @@ tagged as (
                                        and 1 preceding) - interval 600 second, false) as is_late
   from sent where not bad),
 kept as (
-  select *, event_type not in ('click','view') as has_country,
-         cast(cast(json_extract_string(props, '$.k') as integer) % 5 as varchar) as c
-  from tagged where not is_late qualify row_number() over (partition by event_id order by "offset") = 1),
+  select unnest(first) from (select min_by(t, "offset") as first from tagged t where not is_late group by event_id)),
+""" + features_sql("kept", "event_id", "user_id", "ts", "value", "event_type",
+                   "case when event_type not in ('click','view') then cast(json_extract_string(props, '$.k') as integer) % 5 end",
+                   '"offset"', "3599999999 microseconds").lstrip() + """,
 on_time as (
   select cast(event_id as varchar) as transaction_id, cast(user_id as varchar) as card_token, event_type as merchant_id,
-         false as is_late, value as amount, ts as event_time,
-         count(*) over five as card_txn_count_5m, round(sum(value) over hour, 4) as card_amount_sum_1h,
-         date_diff('microsecond', lag(ts) over card, ts) / 1e6 as seconds_since_last_card_txn,
-         coalesce(has_country and count(case when has_country then 1 end) over before > 0
-                  and count(*) over same = 0, false) as is_new_ip_country,
-         round(case when count(*) over m >= 30 and stddev_samp(value) over m > 0
-              then (value - avg(value) over m) / stddev_samp(value) over m else 0 end, 6) as merchant_amount_zscore
-  from kept
-  window card as (partition by user_id order by ts),
-         five as (partition by user_id order by ts range between interval 300 second preceding and current row),
-         hour as (partition by user_id order by ts range between interval 3599999999 microsecond preceding and current row),
-         before as (partition by user_id order by ts rows between unbounded preceding and 1 preceding),
-         same as (partition by user_id, case when has_country then c end order by ts
-                  rows between unbounded preceding and 1 preceding),
-         m as (partition by event_type order by "offset" rows between unbounded preceding and 1 preceding)),
+         false as is_late, value as amount, ts as event_time, n5 as card_txn_count_5m, round(s1h, 4) as card_amount_sum_1h,
+         gap as seconds_since_last_card_txn, flag as is_new_ip_country, round(z, 6) as merchant_amount_zscore
+  from kept join feats on id = event_id),
 offline as (
   select * from on_time
   union all
