@@ -158,3 +158,27 @@ def test_stateful_steps_travel_without_the_package(tmp_path):
     code = "import pickle,sys; print([type(s).__name__ for s in pickle.load(open('steps','rb'))], 'tillwork' in sys.modules)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "['LateTagger', 'CardFeatures', 'MerchantScore'] False", done.stderr
+
+
+def test_outcomes_add_up_over_any_number_of_batches(spark, tmp_path):
+    """150 batches: more than a query keeps progress reports of."""
+    from tillwork.streaming import feature_stream
+
+    source, seen = tmp_path / "in", tmp_path / "out"
+    spark.range(150).selectExpr("id", "id % 10 <> 0 as valid").repartition(150).write.parquet(str(source))
+    files = len(list(source.glob("part-*")))
+    stream = spark.readStream.schema("id long, valid boolean").option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = (stream.writeStream.format("parquet").option("path", str(seen)).option("checkpointLocation", str(tmp_path / "c"))
+             .trigger(availableNow=True).start())
+    assert query.awaitTermination(240) and files > 100
+    features = spark.range(120).selectExpr("id % 4 = 0 as is_late")
+    got = {r["outcome"]: r["n"] for r in feature_stream.outcomes(spark.read.parquet(str(seen)), features).collect()}
+    assert got == {"processed": 90, "late": 30, "invalid": 15, "duplicate": 15}
+
+
+def test_lag_is_a_number_per_partition():
+    from tillwork.streaming.feature_stream import lag_rows
+
+    rows = lag_rows("k", '{"t": {"0": 5}}', '{"t": {"0": 9, "1": 4}, "u": {"0": 1}}')
+    assert [(r["topic"], r["partition"], r["lag"]) for r in rows] == [("t", 0, 4), ("t", 1, 4), ("u", 0, 1)]
+    assert lag_rows("f", '{"logOffset": 3}', None) == [] and lag_rows("f", "3", "x") == [] and lag_rows("f", None, '{"a": 1}') == []

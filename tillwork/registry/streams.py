@@ -119,13 +119,10 @@ def _(spark, sf_dir):
     union all select 'invalid', count(*) from sent where bad
     union all select 'duplicate', (select count(*) from tagged where not is_late) - (select count(*) from kept)""")
 def _(spark, sf_dir):
-    decoded = source.decode(replay(spark, sf_dir)).observe(
-        "decoded", F.count(F.lit(1)).alias("total"), F.count_if(~F.col("valid")).alias("invalid"))
-    _rows, done = drain(job.feature_stream(decoded.where("valid").drop("value", "valid")), "outcomes")
-    seen = [p.observedMetrics.get("decoded") for p in done.recentProgress]
-    total, invalid = (sum(m[k] for m in seen if m is not None) for k in ("total", "invalid"))
-    counts = job.outcomes(done, total, invalid)
-    return spark.createDataFrame(list(counts.items()), "outcome string, n bigint")
+    messages, _query = drain(source.decode(replay(spark, sf_dir)).select("valid"), "messages")
+    valid, _invalid = source.parse_events(replay(spark, sf_dir))
+    rows, _query = drain(job.feature_stream(valid).select("is_late"), "outcomes")
+    return job.outcomes(messages, rows)
 
 
 @query("online_features", f"""with {T_SENT}

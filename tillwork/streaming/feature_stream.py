@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -149,16 +150,31 @@ def compact_online(spark: SparkSession, path: str) -> None:
         fs.delete(folder, True)
 
 
-def outcomes(query: StreamingQuery, total: int, invalid: int) -> dict[str, int]:
-    """Events by outcome: what was neither invalid, late nor processed was a repeat."""
-    seen = [p.observedMetrics.get("outcomes") for p in query.recentProgress]
-    processed = sum(m["processed"] for m in seen if m is not None)
-    late = sum(m["late"] for m in seen if m is not None)
-    return {"processed": processed, "late": late, "invalid": invalid, "duplicate": total - invalid - processed - late}
+def outcomes(messages: DataFrame, features: DataFrame) -> DataFrame:
+    """(outcome, n) over all of a stream's life, from the tables it wrote: one row per message with
+    `valid`, and the feature rows with `is_late`. What was neither invalid, late nor processed was a
+    repeat. A query's progress reports cover its last batches only, so they are not used."""
+    read = messages.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("valid")).alias("invalid"))
+    made = features.agg(F.count_if(~F.col("is_late")).alias("processed"), F.count_if("is_late").alias("late"))
+    row = read.crossJoin(made).withColumn("duplicate", F.expr("total - invalid - processed - late"))   # one row each
+    return row.unpivot([], ["processed", "late", "invalid", "duplicate"], "outcome", "n")
 
 
 def source_lag(query: StreamingQuery) -> list[dict]:
-    """Rows the sources are behind, as reported by the last batch."""
+    """How far each source was behind at the last batch: per topic and partition for sources that
+    report offsets by partition, else the report of the source itself."""
     progress = query.lastProgress
-    return [] if progress is None else [
-        {"source": s.description, "end": s.endOffset, "latest": s.latestOffset} for s in progress.sources]
+    return [] if progress is None else [row for s in progress.sources for row in lag_rows(s.description, s.endOffset, s.latestOffset)]
+
+
+def lag_rows(source: str, end: str | None, latest: str | None) -> list[dict]:
+    """Rows between two offset reports ({topic: {partition: offset}}); without both there is none.
+    A partition the end report lacks is behind by its whole latest offset."""
+    try:
+        ended, newest = json.loads(end or "{}"), json.loads(latest or "{}")
+    except ValueError:
+        return []
+    if not (isinstance(newest, dict) and all(isinstance(v, dict) for v in newest.values())):
+        return []
+    return [{"source": source, "topic": topic, "partition": int(part), "lag": offset - ended.get(topic, {}).get(part, 0)}
+            for topic, parts in sorted(newest.items()) for part, offset in sorted(parts.items())]
