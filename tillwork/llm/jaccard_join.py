@@ -284,7 +284,9 @@ def _verify(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataF
 def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """(node, root): components of linked sets; sets without links have no row."""
     spark = docs.sparkSession
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 65536)
+    # Half as many buckets as shuffle partitions: a bucket repeats the name of each class that has an
+    # element in it, so fewer and larger buckets move less.
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 1), 65536)
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_bucket_rows(k, buckets), _PACKED)
     shared = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets), _PACKED + ", dfs binary")
     survivors = materialize(
