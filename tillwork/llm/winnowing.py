@@ -47,7 +47,7 @@ def _anchors(df: DataFrame, key: str, k: int, window: int, salt: int | None = No
                         F.slice("words", i - left, left + k + reach).alias("around"))
 
     grams = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), anchor)
-    return df.select(key, F.explode(grams).alias("a")).select(key, "a.*", F.lit(window).alias("length"))
+    return df.select(key, F.explode_outer(grams).alias("a")).where("a is not null").select(key, "a.*", F.lit(window).alias("length"))
 
 
 def _with_minima(df: DataFrame, hashes: str, width: int) -> DataFrame:
@@ -85,7 +85,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lengths = sorted(r[0] for r in known.where(F.col("size") < window).select("size").distinct().collect())   # below `window` many
 
     full = known.where(F.col("size") >= window).select("item", F.col("item_words").alias("words"))
-    minima = _with_minima(full.select("item", _gram_hashes("words", k).alias("hashes")), "hashes", width).select("item", F.explode("hashes").alias("print"))
+    minima = _with_minima(full.select("item", _gram_hashes("words", k).alias("hashes")), "hashes", width).select("item", F.explode_outer("hashes").alias("print"))
     places = _anchors(full, "item", k, window).join(minima, ["item", "print"], "left_semi")
     for n in lengths:
         short = known.where(F.col("size") == n).select("item", F.col("item_words").alias("words"))
@@ -109,7 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return (back <= F.col("left")) & (back <= F.col("item_left")) & (F.size(mine) == F.col("length")) & (mine == theirs)
 
     steps = F.filter(F.sequence(F.lit(0), F.lit(window - k)), agrees)
-    hits = materialize(met.select("row", "item", "length", "pos", F.explode(steps).alias("back"))
+    hits = materialize(met.select("row", "item", "length", "pos", F.explode_outer(steps).alias("back")).where("back is not null")
                        .select("row", "item", (F.col("pos") - F.col("back")).alias("start"), "length").distinct(), "hits")
 
     words_hit = (hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct()
@@ -127,13 +127,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _suspects(held, prints, lengths, window, k, width) -> DataFrame:
     """Keys of the documents that share a fingerprint with an item."""
-    texts = held.select("id", "text", word_list(F.col("text")).alias("words"))
-    own = texts.select("id", "text", "words", _gram_hashes("words", k).alias("hashes"))
+    # The key is made before fingerprints are laid out in rows, so that a row carries no text.
+    own = held.select(row_key(F.col("id"), F.col("text")).alias("row"), word_list(F.col("text")).alias("words"))
+    own = own.select("row", "words", _gram_hashes("words", k).alias("hashes"))
     own = _with_minima(own, "hashes", width)
     for n in lengths:
         own = own.withColumn("hashes", F.concat("hashes", F.array_distinct(_gram_hashes("words", n, n))))
-    spread = own.select("id", "text", F.explode("hashes").alias("print"))
-    return materialize(spread.join(_fit(prints), "print", "left_semi").select(row_key(F.col("id"), F.col("text")).alias("row")).distinct(), "suspect-rows")
+    # explode_outer: for explode Spark adds a filter on the array's size and pushes it down through the
+    # projections above, where it would repeat their expressions many times over.
+    spread = own.select("row", F.explode_outer("hashes").alias("print"))
+    return materialize(spread.join(_fit(prints), "print", "left_semi").select("row").distinct(), "suspect-rows")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
