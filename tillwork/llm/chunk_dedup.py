@@ -122,8 +122,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         recipes = _with_bytes(held, cut, shared, id_type)
     recipes = materialize(recipes, "recipes")
 
-    groups = (recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-              .where("group_size > 1").withColumnRenamed("recipe", "same"))
+    # Written first: the join then has a plain shuffle on both sides and can split a hot recipe.
+    groups = materialize(recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+                         .where("group_size > 1").withColumnRenamed("recipe", "same"), "groups")
     joined = recipes.join(groups, recipes["recipe"] == groups["same"], "left")
     grouped = F.col("group_size").isNotNull()
     keep = F.when(grouped, F.col("keep_id")).otherwise(F.col("id"))

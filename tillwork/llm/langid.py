@@ -160,8 +160,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
     names = F.array(*[F.lit(x) for x in langs])
     # The rank limit is applied in each task before the shuffle; the stated length bounds the broadcast.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    chosen = known.select("lang", F.xxhash64("id").alias("rank")).withColumn("place", place).where(F.col("place") <= sample_per_lang).select("rank", "lang")
+    # First within slices of a language, so that what all tasks send for it does not meet in one.
+    ranked = known.select("lang", F.xxhash64("id").alias("rank")).withColumn("slice", F.pmod(F.xxhash64("rank"), F.lit(64)))
+    for by in (["lang", "slice"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= sample_per_lang)
+    chosen = ranked.select("rank", "lang")
     chosen = F.broadcast(materialize(chosen.distinct(), "chosen"))
     sample = materialize(
         known.withColumn("rank", F.xxhash64("id")).join(chosen, ["rank", "lang"]).dropDuplicates(["rank", "lang"])
