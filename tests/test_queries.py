@@ -4,11 +4,13 @@ import pytest
 from oracle import compare
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tillwork import registry
 
 SQL = oracle_sql()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+# The optional queries have tests of their own.
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, sf, name):
     df = queries()[name](spark, sf)
     if name in SQL:
