@@ -83,3 +83,51 @@ def test_tables(spark):
     first = out.where("doc_id = 1").first()
     assert len(first["alternatives"]) == 3 and first["n_pieces"] * 4 == len(first["pieces"])
     assert all(a["score"] <= first["score"] for a in first["alternatives"])
+
+
+def best_scores(v, text, n):
+    """The n best scores of a text: the n best of every node, from those of the nodes before it."""
+    whole = [0.0]
+    for word in pieces.split_words(v, text):
+        ends = [[0.0]]
+        for into in pieces.edges(v, word)[1:]:
+            ends.append(sorted((s + score for i, _, score in into for s in ends[i]), reverse=True)[:n])
+        whole = sorted((a + b for a in whole for b in ends[-1]), reverse=True)[:n]
+    return whole
+
+
+@pytest.mark.parametrize("spaces", [209, 305, 1009])
+def test_ties_in_runs_of_spaces(vocabulary, spaces, monkeypatch):
+    """Millions of segmentations of such a run tie with the best; the search must not visit them all."""
+    pops, pop = [0], pieces.heapq.heappop
+
+    def counted(queue):
+        pops[0] += 1
+        if pops[0] > 10_000:
+            raise AssertionError("too many partial paths")
+        return pop(queue)
+    monkeypatch.setattr(pieces.heapq, "heappop", counted)
+    for text in ("a" + " " * spaces + "b", "a" + " " * spaces, " " * spaces, " " * spaces + "\n" + " " * spaces):
+        pops[0] = 0
+        raw, _, best, others = encode_text(vocabulary, text, 4)
+        ids = np.frombuffer(raw, "<i4").tolist()
+        assert decode_ids(vocabulary, ids) == text and [best, *(s for s, _ in others)] == best_scores(vocabulary, text, 4)
+        seen = {tuple(ids)}
+        for _, edits in others:
+            other, drift = list(ids), 0
+            for at, replaced, new in sorted(edits):
+                other[at + drift:at + drift + replaced] = new
+                drift += len(new) - replaced
+            assert decode_ids(vocabulary, other) == text
+            seen.add(tuple(other))
+        assert len(seen) == 4
+
+
+def test_ties_without_exact_sums():
+    """Pieces of scores that add up with rounding: many equal paths, one order of addition apart."""
+    names = [MARK, *("a" * k for k in range(1, 8))]
+    v = Vocabulary({p: (i + 1, -0.1 if p != MARK else -0.3) for i, p in enumerate(names)}, {p[:j] for p in names for j in range(1, len(p))},
+                   ["<unk>", *names], None, 0, -0.3, True)
+    word = MARK + "a" * 401
+    found = n_best(v, word, 4)
+    assert found[0][1] == viterbi(v, word)[1] and [s for s, _ in found] == pytest.approx([found[0][0]] * 4)

@@ -149,11 +149,14 @@ def n_best(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
     best = [0.0] * (len(word) + 1)
     for j in range(1, len(word) + 1):
         best[j] = max(best[i] + s for i, _, s in into[j])
-    # (-(score of the rest of the path + best score up to its node), tie order, node, score of the rest, rest)
-    queue = [(-best[-1], 0, len(word), 0.0, None)]
-    found, order = [], 1
+    # (loss against the best path, node, tie order, score of the rest, rest). The best edge into a node
+    # loses exactly 0 and of equal losses the node nearest the start is taken, so whatever is taken
+    # reaches the start in as many steps as it has pieces, however many paths tie with it. The first to
+    # arrive is the path of `viterbi`, as that too prefers the longer piece at every node.
+    queue = [(0.0, len(word), 0, 0.0, None)]
+    found, order = [], -1
     while queue and len(found) < n:
-        _, _, at, rest, path = heapq.heappop(queue)
+        lost, at, _, rest, path = heapq.heappop(queue)
         if at == 0:
             pieces, cuts = [], []
             while path is not None:
@@ -163,8 +166,8 @@ def n_best(v: Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
             found.append((rest, _ids(v, pieces, word, cuts)))
             continue
         for i, piece, score in into[at]:
-            heapq.heappush(queue, (-(rest + score + best[i]), order, i, rest + score, ((i, piece), path)))
-            order += 1
+            heapq.heappush(queue, (lost + (best[at] - (best[i] + score)), i, order, rest + score, ((i, piece), path)))
+            order -= 1
     return found
 
 
