@@ -41,6 +41,14 @@ def test_broken_pages():
     assert len(main_text("<article><p>" + "word " * 200_000)) == 999_999
 
 
+def test_comments_and_scripts_own_what_they_hold():
+    assert main_text('<p>a</p><script>var s="<!--";</script><p>b</p>') == "a\nb"
+    assert main_text('<p>a</p><style>x{content:"<!--"}</style><p>b</p><!-- c --><p>d</p>') == "a\nb\nd"
+    assert main_text('<p>a</p><script>x = "<![CDATA["; y = "<?"</script><p>b</p>') == "a\nb"
+    assert main_text("<p>a</p><!-- <script> --><p>b</p><script>c</script><p>d</p>") == "a\nb\nd"
+    assert main_text("<p>a</p><!-- never closed <script>x</script><p>b</p>") == "a"
+
+
 def test_articles_of_the_pages(spark, sf):
     """Brute force: in these pages the article element holds blocks h1 and p only."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")

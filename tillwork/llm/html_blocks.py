@@ -41,8 +41,10 @@ LONG, SHORT = 200, 70
 MANY_STOPS, SOME_STOPS = 0.30, 0.15
 MANY_LINKS = 0.4
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_RAW = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# Comments, declarations and raw elements, from left to right: whichever opens first owns what it
+# holds, so a comment's opening inside a script is a part of the script and the other way round.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                      r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
 _OPEN_END = re.compile(r"</?[A-Za-z][^>]*\Z")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -69,7 +71,7 @@ def _closes(name: str, tags: list) -> int:
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space folded, character references decoded."""
-    page = _OPEN_END.sub("", _RAW.sub(" ", _DROPPED.sub(" ", page)))
+    page = _OPEN_END.sub("", _DROPPED.sub(" ", page))
     found: list[Block] = []
     tags: list[tuple[str, bool, bool]] = []     # (name, starts a region outside, starts an article)
     parts: list[str] = []
