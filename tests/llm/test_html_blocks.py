@@ -49,6 +49,31 @@ def test_comments_and_scripts_own_what_they_hold():
     assert main_text("<p>a</p><!-- never closed <script>x</script><p>b</p>") == "a"
 
 
+def test_role_words_around_the_text():
+    text, side = (LONG * 2).strip(), "<div class=comments><p>Nice.</p></div>"
+    for open_, end in (('<div class="site no-sidebar">', "</div>"), ('<div class="content has-sidebar">', "</div>"),
+                       ('<section id="search-result-7">', "</section>"), ("<form action=x>", "</form>"), ('<div class="with-left-menu">', "</div>"),
+                       ('<form><div class="widget"><div id="page-header">', "</div></div></form>")):
+        assert main_text(f"<body>{open_}<p>{text}</p><p>{text}</p>{side}{end}</body>").split("\n") == [text, text], open_
+        assert main_text(f"<body>{open_}<article><p>Short.</p>{side}</article>{end}</body>") == "Short.", open_
+        assert main_text(f"<body><article>{open_}<p>{text}</p>{side}{end}</article></body>") == text, open_
+    several = "".join(f'<section id="search-result-{i}"><p>{text} {i}</p></section>' for i in range(3))
+    assert main_text(several).split("\n") == [f"{text} {i}" for i in range(3)]
+
+
+def test_role_words_beside_the_text():
+    text, main = (LONG * 2).strip(), "<p>" + LONG * 4 + "</p>"
+    for beside in (f"<section id=comments><p>{text}</p></section>", f"<div class=related><article><p>{text}</p></article></div>",
+                   f'<div class="left-sidebar"><p>{text}</p></div>', f"<form><p>{text}</p></form>"):
+        assert main_text(f"<body>{main}{beside}</body>") == main_text(f"<body><article>{main}</article>{beside}</body>") == (LONG * 4).strip()
+    assert main_text(f"<body><div class=widget>{main}<div class=share>Share</div><aside>{main}</aside></div></body>") == (LONG * 4).strip()
+
+
+def test_paragraph_that_begins_with_copyright():
+    text = "Copyright is a part of the law that " + LONG * 2
+    assert main_text(f"<body><p>{LONG * 2}</p><p>{text}</p><p>Copyright 2020 by me</p></body>").split("\n") == [(LONG * 2).strip(), text.strip()]
+
+
 def test_articles_of_the_pages(spark, sf):
     """Brute force: in these pages the article element holds blocks h1 and p only."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")

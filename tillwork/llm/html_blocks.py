@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks that are clearly text
 (long, rich in stop words, few links, or plainly inside an article) or clearly not (links, regions of
-navigation, notices, forms, comments). The second gives each undecided block the label of its nearest
+navigation, notices, forms, comments). A role word in a class or id, or a form, speaks against a region
+only while the page has more running text elsewhere. The second gives each undecided block the label of its nearest
 decided neighbours.
 """
 
@@ -37,6 +38,9 @@ STOP_WORDS = frozenset((
     "le la les de des du et est en un une que qui dans pour par sur au aux avec pas ce il elle "
     "el los las y es un una que en del por con para se no su al lo como más o").split())
 
+# Words that turn a role word after them into a statement on the layout ("no-sidebar").
+LAYOUT = frozenset("no not has have with without".split())
+
 LONG, SHORT = 200, 70
 MANY_STOPS, SOME_STOPS = 0.30, 0.15
 MANY_LINKS = 0.4
@@ -59,6 +63,8 @@ class Block:
     outside: bool       # in a region that is no main text
     inside: bool        # in an article
     heading: bool
+    mark: int = -1      # innermost region with a role word, or -1
+    own: bool = True    # inside an article that lies within that region
 
 
 def _closes(name: str, tags: list) -> int:
@@ -73,7 +79,9 @@ def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space folded, character references decoded."""
     page = _OPEN_END.sub("", _DROPPED.sub(" ", page))
     found: list[Block] = []
-    tags: list[tuple[str, bool, bool]] = []     # (name, starts a region outside, starts an article)
+    tags: list[tuple[str, bool, bool, bool]] = []   # (name, starts a region outside, starts an article, starts a marked region)
+    above: list[int] = []                       # for each marked region the one around it, or -1
+    marks: list[tuple[int, int]] = []           # open marked regions: (number, articles around it)
     parts: list[str] = []
     outside = inside = links_open = linked = breaks = 0
     heading = False
@@ -82,12 +90,15 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, linked, outside > 0, inside > 0, heading))
+            mark, around = marks[-1] if marks else (-1, 0)
+            found.append(Block(text, linked, outside > 0, inside > 0, heading, mark, inside > around))
         parts, linked = [], 0
 
     def leave(k):
         nonlocal outside, inside, links_open
-        for name, out, in_ in tags[k:]:
+        for name, out, in_, marked in tags[k:]:
+            if marked:
+                marks.pop()
             outside, inside, links_open = outside - out, inside - in_, links_open - (name == "a")
         del tags[k:]
 
@@ -125,20 +136,73 @@ def blocks(page: str) -> list[Block]:
             marked = False
             if rest:
                 for value in _NAMES.findall(rest):
-                    marked = marked or any(w in _ROLE_SET for w in re.split(r"[^a-z]+", "".join(value).lower()))
+                    marked = marked or any(_names_role(token) for token in "".join(value).lower().split())
             # The header of an article holds its title; other headers are the page's.
-            out = name in _OUTSIDE_SET and not (name == "header" and inside) or marked and name not in ("html", "body", *INSIDE)
+            out = name in _OUTSIDE_SET and name != "form" and not (name == "header" and inside)
+            marked = not out and (name == "form" or marked and name not in ("html", "body", *INSIDE))
             in_ = name in INSIDE
-            tags.append((name, out, in_))
+            tags.append((name, out, in_, marked))
+            if marked:
+                above.append(marks[-1][0] if marks else -1)
+                marks.append((len(above) - 1, inside))
             outside, inside, links_open = outside + out, inside + in_, links_open + (name == "a")
             if block:
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     if page[at:]:
         parts.append(page[at:])
     close()
+    if above:
+        _judge_marks(found, above)
     return found
 
 
+def _names_role(token: str) -> bool:
+    """Whether a class or id holds a role word that no layout word stands before."""
+    for word in re.split(r"[^a-z]+", token):
+        if word in LAYOUT:
+            return False
+        if word in _ROLE_SET:
+            return True
+    return False
+
+
+def _density(text: str) -> float:
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def _running(b: Block) -> int:
+    """Characters of running text: of long blocks rich in stop words, and of articles within the region."""
+    if b.outside or b.links > MANY_LINKS * len(b.text):
+        return 0
+    return len(b.text) if b.own and b.inside or len(b.text) >= LONG and _density(b.text) >= SOME_STOPS else 0
+
+
+def _judge_marks(found: list[Block], above: list[int]) -> None:
+    """Put blocks of marked regions outside, but for regions with running text, and as much of it as
+    there is out of marked regions. Regions within such a one are judged next, against its text too."""
+    own, total, free = [0] * len(above), [0] * len(above), 0
+    for b in found:
+        if b.mark < 0:
+            free += _running(b)
+        else:
+            own[b.mark] += _running(b)
+    below: dict[int, list[int]] = {}
+    for k in range(len(above) - 1, -1, -1):     # the inner ones have the larger numbers
+        total[k] += own[k]
+        if above[k] >= 0:
+            total[above[k]] += total[k]
+        below.setdefault(above[k], []).append(k)
+    kept, level = {-1}, below[-1]
+    while level:
+        held = [k for k in level if total[k] and total[k] >= free]
+        free += sum(own[k] for k in held)
+        kept.update(held)
+        level = [inner for k in held for inner in below.get(k, ())]
+    for b in found:
+        b.outside = b.outside or b.mark not in kept
+
+
 _BLOCK_SET, _VOID_SET, _OUTSIDE_SET, _ROLE_SET = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTSIDE), frozenset(ROLES)
 
 
@@ -149,12 +213,11 @@ def first_pass(b: Block) -> int:
         return BAD
     if b.inside:
         return GOOD
-    if b.text.startswith("©") or "copyright" in b.text[:40].lower():
+    if len(b.text) < LONG and (b.text.startswith("©") or "copyright" in b.text[:40].lower()):
         return BAD
     if len(b.text) < SHORT or b.heading:
         return OPEN
-    words = [w.lower() for w in _WORD.findall(b.text)]
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    density = _density(b.text)
     if density >= MANY_STOPS or density >= SOME_STOPS and len(b.text) >= LONG:
         return GOOD
     return OPEN
