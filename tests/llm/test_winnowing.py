@@ -60,3 +60,14 @@ def test_edges(spark):
     assert drop_contaminated(docs, items).collect() == docs.where("doc_id = 2").collect()
     with pytest.raises(ValueError):
         contamination(docs, items, window=3, k=4)
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    dirty, other = " ".join(f"b{i}" for i in range(12)), "say " + " ".join(f"b{i}" for i in range(12))
+    rows = [(None, dirty, "a"), (None, "clean without id", "b"), (None, None, "c"), (1, dirty, "d"), (1, "clean with id", "e"),
+            (1, "clean with id", "f"), (2, other, "g"), (2, other, "h"), (3, None, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    items = spark.createDataFrame([(1, dirty)], "item_id long, text string")
+    left = drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(r["row"] for r in left.collect()) == ["b", "c", "e", "f", "i"]

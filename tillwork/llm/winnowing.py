@@ -75,6 +75,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty string; rows that repeat an item id count once. Rows that repeat a document id are judged
     on their own texts. Empty tables give no rows, or no hits. Other columns are not read.
     """
+    rows, verdict = _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window, k)
+    return rows.join(verdict, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def _judged(docs, items, id_col, text_col, item_id_col="item_id", item_text_col="text", window=10, k=5) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n_words) of every row, and (row, n_hit, n_items, item_ids) of the keys of contaminated rows."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and the window")
     width = window - k + 1
@@ -119,10 +128,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     verdict = words_hit.join(names, "row")
     rows = held.select("id", row_key(F.col("id"), F.col("text")).alias("row"),
                        F.coalesce(F.regexp_count("text", F.lit(_RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return rows.join(verdict, "row", "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.col("n_hit").isNotNull().alias("contaminated"))
+    return rows, verdict
 
 
 def _suspects(held, prints, lengths, window, k, width) -> DataFrame:
@@ -140,7 +146,8 @@ def _suspects(held, prints, lengths, window, k, width) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without any hit, with their columns."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_id")).distinct()
-    bad = _fit(materialize(bad, "contaminated"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of `docs` without any hit, with their columns. Rows that share an id, or have none, are
+    judged each by its own text."""
+    _, verdict = _judged(docs, items, id_col, text_col)
+    bad = _fit(materialize(verdict.select("row"), "contaminated"))
+    return docs.join(bad, row_key(docs[id_col], docs[text_col]) == bad["row"], "left_anti")
