@@ -117,3 +117,15 @@ def test_revisits(spark, limit):
     key = lambda r: (*r[:3], sorted(r[3].items()))
     assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, plain_resolve(records, canonical))))
     assert warc_revisits.resolve_revisits(table.limit(0)).count() == 0
+
+
+def test_licenses_with_title_lines(spark):
+    texts = {name: text for name, text in licenses.KNOWN[:6]}
+    body = licenses.KNOWN[0][1]
+    bsd = next(text for name, text in licenses.KNOWN if name == "BSD-3-Clause" and "1. " in text)
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + body), (2, "The MIT License (MIT)\n\n" + body),
+            (3, "ISC License\n\nCopyright (c) 2020\n\n" + texts["ISC"]),
+            (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd), (5, "Other title\n\n" + body)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: "BSD-3-Clause", 5: None}

@@ -36,8 +36,26 @@ _ISC_WARRANTY = ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
                  "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
                  "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
                  "PERFORMANCE OF THIS SOFTWARE.")
+_BSD_WARRANTY = ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+                 "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                 "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                 "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+                 "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+                 "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+                 "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met:\n\n{}Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.\n\n{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n")
+_BSD_NAMES = ("{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+              "derived from this software without specific prior written permission.\n\n")
+# Title lines that whole licences are often given.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+          "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+          "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"]}
 # Known texts by SPDX identifier. A licence may have several.
-KNOWN = [
+_TEXTS = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
             'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
             "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
@@ -51,6 +69,10 @@ KNOWN = [
             "provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n"
              + _ISC_WARRANTY),
+    *[("BSD-2-Clause", _BSD.format(*marks) + _BSD_WARRANTY) for marks in (("", ""), ("1. ", "2. "))],
+    *[("BSD-3-Clause", _BSD.format(*marks) + _BSD_NAMES.format(*marks[2:]) + _BSD_WARRANTY) for marks in (("", "", ""), ("1. ", "2. ", "3. "))],
+]
+KNOWN = _TEXTS + [(name, f"{title}\n\n{text}") for name, text in _TEXTS for title in TITLES[name]] + [
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
