@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwork.llm import html_blocks, langid, licenses, pieces, quality_crf, sharding, warc_revisits
+from tillwork.llm import conversation_repair, html_blocks, langid, licenses, mixing, periodic_runs, pieces, quality_crf, sharding, warc_revisits
 from tillwork.llm.chunk_dedup import exact_duplicates
 from tillwork.llm.common import crc32_fold
 from tillwork.llm.jaccard_join import jaccard_components
@@ -247,3 +247,171 @@ def op8_warc_revisits(spark, sf_dir):
               "content_length": "content-length", "date": "date"}
     return found.select("record_id", "canonical_url", "at", "outcome", "response_id",
                         *[F.element_at("headers", h).alias(c) for c, h in header.items()])
+
+
+def _crc32_sql(text):
+    """crc32 of an ASCII text in DuckDB, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::bigint * (v & 1)))), 4294967295::bigint)"""
+
+
+def repeat_tails(docs):
+    """The documents with one in ten made periodic from some word on."""
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def damaged(w):
+        n, g = F.size(w), F.floor(hashed / 10)
+        first = (g % n).cast("int")
+        period = (F.floor((n - first) / (3 + g % 8)) + 1).cast("int")
+        times = F.ceil((n - first) / period).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, first + 1, period), times)), F.lit(1), n - first)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), first), tail), " "))
+
+    # An array of one element binds the words, so that a text is split once.
+    bound = F.get(F.transform(F.array(words), damaged), F.lit(0))
+    return docs.select("doc_id", F.when(hashed % 10 == 0, F.coalesce(bound, F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
+@query(rf"""
+    with base as (
+        select row_number() over () as row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+               {_crc32_sql("cast(doc_id as varchar)")} as h
+        from documents),
+    cut as (select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a, h // 10 as g from base),
+    text as (
+        select row_no, doc_id, n, case when h % 10 = 0 and n > 0
+                   then w[1:a] || list_transform(generate_series(0, n - a - 1), lambda i: w[a + 1 + i % (1 + (n - a) // (3 + g % 8))])
+                   else w end as w
+        from cut),
+    grams as (
+        select row_no, i, w[i:i + 4] as gram
+        from (select row_no, w, unnest(generate_series(1, len(w) - 4)) as i from text where len(w) >= 6)),
+    -- All pairs of one five-word passage: every run starts with such pairs, one for each of its words but the last period and four.
+    pairs as (
+        select x.row_no, x.i, y.i - x.i as q from grams x join grams y on x.row_no = y.row_no and x.gram = y.gram and x.i < y.i),
+    islands as (
+        select row_no, q, min(i) - 1 as start, max(i) - min(i) + 5 + q as length
+        from (select *, i - row_number() over (partition by row_no, q order by i) as island from pairs) group by row_no, q, island),
+    runs as (
+        select row_no, start, length, min(q) as period from islands where length >= greatest(6, 4 * q) group by row_no, start, length),
+    dropped as (
+        select distinct row_no, unnest(generate_series(start + period, start + length - 1)) as i from runs),
+    kept as (
+        select t.row_no, string_agg(t.word, ' ' order by t.i) as words
+        from (select row_no, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from text) t
+             left join dropped d on t.row_no = d.row_no and t.i = d.i where d.i is null group by t.row_no),
+    said as (
+        select row_no, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+               min(row(-length, start, period)) as first
+        from runs group by row_no)
+    select doc_id, coalesce(n_runs, 0) as n_runs, first[2] as start, -first[1] as length, first[3] as period,
+           (-first[1] * 1000) // first[3] as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+    from text left join said using (row_no) left join kept using (row_no)""")
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(repeat_tails(table(spark, sf_dir, "documents")))
+    top = periodic_runs.longest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.floor(top["length"] * 1000 / top["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damage_turns(rows):
+    """Conversations with some rows lost, emptied, cut short, repeated or given to the wrong role."""
+    space = F.lit(" ")
+    chance = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                              F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    held = rows.select("conv_id", "turn", F.when(chance == 4, "user").otherwise(role).alias("role"),
+                       F.when(chance == 1, "").when(chance == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+                       F.when(chance == 0, 0).when(chance == 3, 2).otherwise(1).alias("_times"))
+    return held.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times")
+
+
+def _edit_sql(cell, cost, letter):
+    """A cell (cost in nine digits, then the audit, so that texts compare like pairs) after one more edit."""
+    return f"lpad(cast(cast(left({cell}, 9) as bigint) + {cost} as varchar), 9, '0') || substr({cell}, 10) || '{letter}'"
+
+
+def _read_sql(cell, initial):
+    """A cell after the row at hand is kept or reroled to be read as `initial`."""
+    keep = f"case when not gone and initial = '{initial}' then {_edit_sql(cell, 'extra', 'K')} end"
+    return keep if initial == "s" else f"least({keep}, case when not gone then {_edit_sql(cell, '2 + extra', 'R')} end)"
+
+
+@query(rf"""
+    with recursive hit as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+               {_crc32_sql("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as k
+        from conversations),
+    turns as (
+        select conv_id, turn, case when k = 4 then 'user' else role end as role,
+               case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+        from hit, (values (1), (2)) c(copy) where k <> 0 and (copy = 1 or k = 3)),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from turns),
+    judged as (
+        select *, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by place) as before,
+               case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                    when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+                    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as fault
+        from placed),
+    chats as (
+        select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+               count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+               count(*) filter (fault = 'truncated') as truncated,
+               count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+        from judged group by conv_id),
+    -- From left to right: the cheapest way to have read nothing, a system, a user or an assistant row last.
+    walk as (
+        select conv_id, n, 0 as place, '000000000' as c0, null::varchar as c1, '000000002I' as c2, '000000004II' as c3 from chats
+        union all
+        select conv_id, n, place, t0, t1, u2, least(t3, {_edit_sql('u2', 2, 'I')})
+        from (select *, least(t2, {_edit_sql('t0', 2, 'I')}, {_edit_sql('t1', 2, 'I')}, {_edit_sql('t3', 2, 'I')}) as u2
+              from (select conv_id, n, place, {_edit_sql('c0', 3, 'D')} as t0, least({_edit_sql('c1', 3, 'D')}, {_read_sql('c0', 's')}) as t1,
+                           least({_edit_sql('c2', 3, 'D')}, {_read_sql('c0', 'u')}, {_read_sql('c1', 'u')}, {_read_sql('c3', 'u')}) as t2,
+                           least({_edit_sql('c3', 3, 'D')}, {_read_sql('c2', 'a')}) as t3
+                    from (select w.conv_id, w.n, j.place, c0, c1, c2, c3, initial, coalesce(fault, '') in ('blank', 'duplicate') as gone,
+                                 case when fault = 'truncated' then 1 else 0 end as extra
+                          from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.place = w.place + 1)))),
+    best as (
+        select conv_id, cast(left(least(c0, c3), 9) as bigint) as cost, substr(least(c0, c3), 10) as audit from walk where place = n),
+    letters as (
+        select conv_id, audit[i] as letter, i,
+               count(*) filter (audit[i] <> 'I') over (partition by conv_id order by i) as place,
+               count(*) filter (audit[i] <> 'D') over (partition by conv_id order by i) as made
+        from (select conv_id, audit, unnest(generate_series(1, length(audit))) as i from best)),
+    heads as (
+        select l.conv_id from letters l join judged j on j.conv_id is not distinct from l.conv_id and j.place = l.place
+        where made = 1 and letter = 'K' and initial = 's'),
+    said as (
+        select l.conv_id, string_agg(case when letter = 'K' then j.role else case when (made + h.n) % 2 = 1 then 'user' else 'assistant' end end
+                                     || ':' || case when letter = 'I' then '' else j.text end, chr(10) order by i) as body
+        from letters l
+        left join judged j on j.conv_id is not distinct from l.conv_id and j.place = l.place
+        join (select c.conv_id, (select count(*) from heads where heads.conv_id is not distinct from c.conv_id) as n from chats c) h
+          on h.conv_id is not distinct from l.conv_id
+        where letter <> 'D' group by l.conv_id)
+    select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+           coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+    from (select distinct conv_id from conversations) o
+    left join chats c on c.conv_id is not distinct from o.conv_id
+    left join best b on b.conv_id is not distinct from o.conv_id
+    left join said s on s.conv_id is not distinct from o.conv_id""")
+def op13_conversation_repair(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations")
+    found, rebuilt = conversation_repair.repair(damage_turns(chats))
+    digests = conversation_repair.conversation_digests(rebuilt)
+    every = chats.select("conv_id").distinct()
+    both = every.join(found.withColumnRenamed("conv", "_c"), every["conv_id"].eqNullSafe(F.col("_c")), "left")
+    both = both.join(digests.withColumnRenamed("conv", "_d"), both["conv_id"].eqNullSafe(F.col("_d")), "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
