@@ -52,7 +52,7 @@ def test_targets_rates_and_copies(spark, share, hot):
     if hot:
         spark.conf.set("spark.tillwork.hotGroupRows", hot)
     rows = corpus(int(share * 10)) if not hot else corpus(5)[:30]
-    got = mixing.mix(as_docs(spark, rows), share=share).collect()
+    got = mixing.mix(as_docs(spark, rows), share=share, keep=("doc_id", "source")).collect()
     if hot:
         spark.conf.unset("spark.tillwork.hotGroupRows")
     assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((i or -1, n) for i, _, n in rows)
@@ -65,12 +65,14 @@ def test_targets_rates_and_copies(spark, share, hot):
     by_target = defaultdict(list)
     for r in got:
         assert 0 <= r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
-        by_target[r["target"], r["source_size"]].append(r)
+        by_target[r["source"]].append(r)
     for s, target in want.items():
-        (key,) = [k for k in by_target if k[1] == sizes[s] and math.isclose(k[0], target, rel_tol=1e-12, abs_tol=1e-9)]
-        members = by_target[key]
-        taken = sum(r["taken"] for r in members)
-        assert abs(taken - target) <= max(mixing.NEAR * target, min(by_source[s], default=0)) + 1e-6
+        members = by_target[s]
+        assert all(r["target"] == pytest.approx(target, rel=1e-12) and r["source_size"] == sizes[s] for r in members)
+        still = target - sum(r["taken"] for r in members)
+        # What is open is next to nothing, or no document fits into it.
+        fits = [r for r in members if 0 < r["size"] <= abs(still) and r["copies"] != (2 if still > 0 else 0)]
+        assert abs(still) <= mixing.NEAR * target + 1e-6 or not fits
         rates = dict(zip(by_source[s], plain_rates(by_source[s], target))) if by_source[s] else {}
         assert all(r["rate"] == pytest.approx(rates[r["size"]], rel=1e-5, abs=1e-9) for r in members if r["size"])
 
