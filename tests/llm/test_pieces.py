@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tillwork.llm import pieces
-from tillwork.llm.pieces import MARK, Vocabulary, decode_ids, encode_text, n_best, viterbi
+from tillwork.llm.pieces import MARK, Vocabulary, decode_ids, encode_text, encode_texts, n_best, viterbi, viterbi_all
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -131,3 +131,16 @@ def test_ties_without_exact_sums():
     word = MARK + "a" * 401
     found = n_best(v, word, 4)
     assert found[0][1] == viterbi(v, word)[1] and [s for s, _ in found] == pytest.approx([found[0][0]] * 4)
+
+
+def test_all_words_at_once_like_one_by_one(vocabulary):
+    words = ["a", MARK, MARK + "the", "zebra", "日本", "😀x", MARK * 7, "é" * 60, "the" * 20, "\u0378q"]
+    ids, bounds, scores, detours = viterbi_all(vocabulary, words)
+    for k, word in enumerate(words):
+        score, own, detour = viterbi(vocabulary, word)
+        assert (scores[k], ids[bounds[k]:bounds[k + 1]].tolist(), detours[k]) == (score, own, detour)
+
+
+def test_texts_together_like_texts_alone(vocabulary):
+    texts = ["", "one two two", MARK + " x", "y" * 200 + " z", "two one\n\n", " " * 90]
+    assert encode_texts(vocabulary, texts, 4) == [encode_text(vocabulary, t, 4) for t in texts]
