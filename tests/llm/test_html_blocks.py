@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from tillwork.llm.html_blocks import BAD, GOOD, OPEN, extract, main_text, second_pass
 
@@ -94,3 +95,30 @@ def test_tables(spark):
     assert sorted(map(str, extract(pages).collect())) == sorted(
         ["Row(page_id=1, url='u', text='a', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_comments_and_notices_go_whatever_their_length():
+    post, talk = "<p>A post of one paragraph that says what there is to say and is then done with it.</p>", f"<p>{LONG * 2}</p>" * 3
+    for name in ("class=comments", 'id="disqus_thread"', 'class="cookie-notice big"', "class=left-sidebar", "class=advert"):
+        for page in (f"<body>{post}<div {name}>{talk}</div></body>", f"<body><article>{post}<section {name}>{talk}</section></article></body>",
+                     f"<body><div {name}><article>{talk}</article></div><main>{post}</main></body>"):
+            assert main_text(page) == post[3:-4], page
+
+
+def test_attributes_as_a_browser_reads_them():
+    assert main_text("<p class=it's>One.</p><article><p title=a'b>Two 'x'.</p></article>") == "One.\nTwo 'x'."
+    assert main_text("<p title='a > b' data-x = \"c > 'd\">One.</p>") == "One."
+    assert main_text('<p title="never closed>One.</p><p>Two.</p>') == "One.\nTwo."
+
+
+def test_links_inside_articles_stay():
+    page = "<article><p>Text.</p><p><a href=1>The whole paragraph is a link</a></p><ul><li><a href=2>Source</a><li><a href=3>Other</a></ul></article>"
+    assert main_text(page).split("\n") == ["Text.", "The whole paragraph is a link", "Source", "Other"]
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ("<a" * 500_000, "<script" * 150_000, '<a b="' * 170_000 + ">", "<div>" * 60_000 + "</span>" * 60_000 + "x",
+                 "<p><div>" * 60_000 + "<p>" * 60_000, "<!" * 400_000, "<b>" * 100_000 + "<p>" * 100_000, "='" * 400_000 + "<a ='" + "='" * 400_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 3, page[:20]

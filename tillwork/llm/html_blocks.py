@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks that are clearly text
 (long, rich in stop words, few links, or plainly inside an article) or clearly not (links, regions of
-navigation, notices, forms, comments). A role word in a class or id, or a form, speaks against a region
-only while the page has more running text elsewhere. The second gives each undecided block the label of its nearest
-decided neighbours.
+navigation, notices, forms, comments). Regions named as reader comments, notices, adverts or sidebars are out
+whatever their length, if the page has any text block elsewhere. Other role words in a class or id, or a form,
+speak against a region only while the page has more running text elsewhere. The second pass gives each undecided
+block the label of its nearest decided neighbours. Everything takes time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ROLES = ("ad ads adv advert advertisement advertising banner sponsor sponsored p
          "breadcrumbs footer header masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social related "
          "recommended comment comments disqus respond replies reply widget pagination pager toolbar login search skip contentinfo "
          "complementary").split()
+APART = frozenset(("ad ads adv advert advertisement advertising sponsor sponsored sidebar cookie cookies consent notice popup modal newsletter "
+                   "comment comments disqus respond replies reply").split())
 STOP_WORDS = frozenset((
     "a an and are as at be by for from he her his in is it not of on or she that the their they this to was were which with you "
     "der die das und ist in den von zu mit sich des dem nicht ein eine als auch es an auf für im "
@@ -48,9 +51,10 @@ MANY_LINKS = 0.4
 # Comments, declarations and raw elements, from left to right: whichever opens first owns what it
 # holds, so a comment's opening inside a script is a part of the script and the other way round.
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                      r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
-_OPEN_END = re.compile(r"</?[A-Za-z][^>]*\Z")
+                      r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video)\b[^>]*+(?:(?<!/)>.*?(?:</\1\s*>|\Z)|\Z)",
+                      re.S | re.I)
+# A quote opens a value only after "="; a tag that is not closed takes the rest of the page.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+", re.U)
 GOOD, BAD, OPEN = 1, -1, 0
@@ -67,20 +71,25 @@ class Block:
     own: bool = True    # inside an article that lies within that region
 
 
-def _closes(name: str, tags: list) -> int:
-    """Place in `tags` (innermost last) of the element that an end tag of this name closes, or -1."""
+def _closes(name: str, tags: list, within: frozenset = frozenset()) -> int:
+    """Place in `tags` (innermost last) of the innermost element of this name, or -1. Elements named in
+    `within` are not left for it."""
     for k in range(len(tags) - 1, -1, -1):
         if tags[k][0] == name:
             return k
+        if tags[k][0] in within:
+            return -1
     return -1
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space folded, character references decoded."""
-    page = _OPEN_END.sub("", _DROPPED.sub(" ", page))
+    page = _DROPPED.sub(" ", page)
     found: list[Block] = []
     tags: list[tuple[str, bool, bool, bool]] = []   # (name, starts a region outside, starts an article, starts a marked region)
+    count: dict[str, int] = {}                  # open elements by name
     above: list[int] = []                       # for each marked region the one around it, or -1
+    apart: list[bool] = []                      # whether it is, or lies in, a region of comments, notices or the like
     marks: list[tuple[int, int]] = []           # open marked regions: (number, articles around it)
     parts: list[str] = []
     outside = inside = links_open = linked = breaks = 0
@@ -97,6 +106,7 @@ def blocks(page: str) -> list[Block]:
     def leave(k):
         nonlocal outside, inside, links_open
         for name, out, in_, marked in tags[k:]:
+            count[name] -= 1
             if marked:
                 marks.pop()
             outside, inside, links_open = outside - out, inside - in_, links_open - (name == "a")
@@ -112,6 +122,8 @@ def blocks(page: str) -> list[Block]:
                 breaks = 0
                 if links_open:
                     linked += len(" ".join(html.unescape(piece).split()))
+        if not m[4]:
+            continue
         end, name, rest = m[1], m[2].lower(), m[3]
         if name == "br":
             breaks += 1
@@ -123,27 +135,28 @@ def blocks(page: str) -> list[Block]:
         if block:
             close()
         if end:
-            k = _closes(name, tags)
-            if k >= 0:
-                leave(k)
+            if count.get(name):
+                leave(_closes(name, tags))
             if block:
                 heading = False
         elif name not in _VOID_SET and not rest.endswith("/"):
-            if name in ("p", "li") and tags:       # these end where the next one begins
-                k = _closes(name, tags)
-                if k >= 0 and not any(t[0] in _BLOCK_SET - {"p", "li"} for t in tags[k + 1:]):
+            if name in ("p", "li") and count.get(name):       # these end where the next one begins
+                k = _closes(name, tags, _HOLDERS)
+                if k >= 0:
                     leave(k)
-            marked = False
+            marked, roles = False, set()
             if rest:
-                for value in _NAMES.findall(rest):
-                    marked = marked or any(_names_role(token) for token in "".join(value).lower().split())
+                roles = {_role(token) for value in _NAMES.findall(rest) for token in "".join(value).lower().split()} - {None}
+                marked = bool(roles)
             # The header of an article holds its title; other headers are the page's.
             out = name in _OUTSIDE_SET and name != "form" and not (name == "header" and inside)
             marked = not out and (name == "form" or marked and name not in ("html", "body", *INSIDE))
             in_ = name in INSIDE
             tags.append((name, out, in_, marked))
+            count[name] = count.get(name, 0) + 1
             if marked:
                 above.append(marks[-1][0] if marks else -1)
+                apart.append(not roles.isdisjoint(APART) or bool(marks) and apart[marks[-1][0]])
                 marks.append((len(above) - 1, inside))
             outside, inside, links_open = outside + out, inside + in_, links_open + (name == "a")
             if block:
@@ -152,18 +165,26 @@ def blocks(page: str) -> list[Block]:
         parts.append(page[at:])
     close()
     if above:
+        if any(_stands(b) and not (b.mark >= 0 and apart[b.mark]) for b in found):
+            for b in found:
+                b.outside = b.outside or b.mark >= 0 and apart[b.mark]
         _judge_marks(found, above)
     return found
 
 
-def _names_role(token: str) -> bool:
-    """Whether a class or id holds a role word that no layout word stands before."""
+def _role(token: str) -> str | None:
+    """The first role word in a class or id, if no layout word stands before it."""
     for word in re.split(r"[^a-z]+", token):
         if word in LAYOUT:
-            return False
+            return None
         if word in _ROLE_SET:
-            return True
-    return False
+            return word
+    return None
+
+
+def _stands(b: Block) -> bool:
+    """Whether a block can be the text of a page."""
+    return not b.outside and not b.heading and b.links <= MANY_LINKS * len(b.text) and (b.inside or len(b.text) >= SHORT)
 
 
 def _density(text: str) -> float:
@@ -204,15 +225,16 @@ def _judge_marks(found: list[Block], above: list[int]) -> None:
 
 
 _BLOCK_SET, _VOID_SET, _OUTSIDE_SET, _ROLE_SET = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTSIDE), frozenset(ROLES)
+_HOLDERS = _BLOCK_SET - {"p", "li"}
 
 
 def first_pass(b: Block) -> int:
     if b.outside:
         return BAD
-    if b.links > MANY_LINKS * len(b.text):
-        return BAD
     if b.inside:
         return GOOD
+    if b.links > MANY_LINKS * len(b.text):
+        return BAD
     if len(b.text) < LONG and (b.text.startswith("©") or "copyright" in b.text[:40].lower()):
         return BAD
     if len(b.text) < SHORT or b.heading:
