@@ -114,3 +114,21 @@ def test_language_edges(spark):
     model = langid.train(known)
     got = [r["lang_pred"] for r in langid.identify(docs.unionByName(known.limit(2)), model).collect()]
     assert got[:3] == ["und"] * 3 and got[4:] == ["en", "de"] and langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_the_quota_of_a_language_counts_documents(spark):
+    """Many rows of one id, and many without an id, leave room for the others."""
+    from tillwork.llm import langid
+
+    lowest = min(range(101), key=lambda i: spark.sql(f"select xxhash64({i}L)").first()[0])
+    rows = [(lowest, f"again {k}", "en") for k in range(300)] + [(i, f"text number {i}", "en") for i in range(101) if i != lowest]
+    rows += [(None, f"ohne {k}", "de") for k in range(50)]
+    seen = []
+    kept = langid.materialize
+    langid.materialize = lambda df, label: seen.append((label, kept(df, label))) or seen[-1][1]
+    try:
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_per_lang=200, settings=langid.Settings(rounds=1))
+    finally:
+        langid.materialize = kept
+    sample = dict(seen)["sample"].groupBy("label").count().collect()
+    assert sorted(r["count"] for r in sample) == [50, 101]

@@ -145,7 +145,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           settings: Settings = Settings()) -> Model:
     """Learn from rows with text and language. Document frequencies cover all of them; the weights
     come from at most `sample_per_lang` documents of each language, those with the smallest hash of the
-    id (of rows that repeat an id and language, one). A part of
+    id. Rows that repeat an id and language count once, with the text of the smallest hash; rows without an
+    id are ranked by their text. A part of
     the sample is a bounded number of documents, whatever the table's size. Without such rows the
     model knows no language."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -161,15 +162,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = F.array(*[F.lit(x) for x in langs])
     # The rank limit is applied in each task before the shuffle; the stated length bounds the broadcast.
     # First within slices of a language, so that what all tasks send for it does not meet in one.
-    ranked = known.select("lang", F.xxhash64("id").alias("rank")).withColumn("slice", F.pmod(F.xxhash64("rank"), F.lit(64)))
+    rank = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    ranked = known.select("lang", rank.alias("rank")).distinct().withColumn("slice", F.pmod(F.xxhash64("rank"), F.lit(64)))
     for by in (["lang", "slice"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
         ranked = ranked.withColumn("place", place).where(F.col("place") <= sample_per_lang)
     chosen = ranked.select("rank", "lang")
-    chosen = F.broadcast(materialize(chosen.distinct(), "chosen"))
+    chosen = F.broadcast(materialize(chosen, "chosen"))
+    once = (known.withColumn("rank", rank).join(chosen, ["rank", "lang"]).groupBy("rank", "lang")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     sample = materialize(
-        known.withColumn("rank", F.xxhash64("id")).join(chosen, ["rank", "lang"]).dropDuplicates(["rank", "lang"])
-        .select("rank", "text", (F.array_position(names, F.col("lang")) - 1).cast("int").alias("label"),
+        once.select("rank", "text", (F.array_position(names, F.col("lang")) - 1).cast("int").alias("label"),
                 F.pmod("rank", F.lit(settings.parts)).alias("part"), F.pmod(F.xxhash64("rank"), F.lit(TEST_SHARE)).alias("fold")), "sample")
     learn, test = sample.where("fold > 0"), sample.where("fold = 0")
 
