@@ -58,3 +58,14 @@ def test_drop(spark):
     assert kept.columns == docs.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(2, "t", "y"), (3, None, "z"), (None, "u", "w")]))
     assert exact_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_that_differ_elsewhere_and_clashing_names(spark):
+    rows = [(1, "t", "b", "k"), (1, "t", "a", "k"), (1, "t", "a", "k"), (2, "u", None, "k"), (2, "u", None, "k"), (None, "t", "c", "k"), (3, "v", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _once string")
+    for at in (docs, docs.repartition(5)):
+        kept = drop_exact_duplicates(at)
+        assert kept.columns == docs.columns
+        got = sorted(map(str, map(tuple, kept.collect())))
+        assert len(got) == 3 and got[1:] == ["(2, 'u', None, 'k')", "(3, 'v', 'x', None)"] and got[0] in ("(1, 't', 'a', 'k')", "(1, 't', 'b', 'k')")
+    assert drop_exact_duplicates(docs.limit(0)).count() == 0

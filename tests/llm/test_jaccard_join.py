@@ -95,3 +95,13 @@ def test_overlaps():
             assert all((100 * i >= 85 * (s + t - i)) == (i >= o) for i in range(s + 1))
             if o <= s:
                 assert o in subset_sizes(s, 85, 100) and o in subset_sizes(t, 85, 100)
+
+
+def test_rows_are_judged_not_ids(spark):
+    long, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, long, "x"), (None, long + " end", "x"), (None, "quite another text", "x"), (2, other, "x"), (3, other + " end", "x"), (3, "a text of its own", "x"),
+            (4, None, "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], *rows[2:4], *rows[5:]]))

@@ -1,5 +1,7 @@
 """The pipeline and the queries of the subpackage."""
 
+import re
+
 import pytest
 from oracle import compare
 
@@ -18,19 +20,66 @@ def test_query(spark, sf, name):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql()) and len(QUERIES) == 13
+
+
+def without_copies(rows):
+    best = {}
+    for r in rows:
+        best[r["text"] or ""] = max(r["doc_id"], best.get(r["text"] or "", -1))
+    return set(best.values())
+
+
+def without_near_copies(rows):
+    """Linked documents by comparing all pairs: the smallest id of each component."""
+    sets = {}
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[r["doc_id"]] = {tuple(words[i:i + 4]) for i in range(max(len(words) - 3, 1))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def without_benchmark(rows, items):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    windows = set()
+    for item in items:
+        w = words(item["text"])
+        windows |= {tuple(w[i:i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(w) for w in windows}
+    return {r["doc_id"] for r in rows
+            if not any(tuple(w[i:i + n]) in windows for w in [words(r["text"])] for n in sizes for i in range(len(w) - n + 1))}
 
 
 def test_stages(spark, sf):
     import numpy as np
 
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    plain = {"exact dedup": without_copies, "n-gram Jaccard join": without_near_copies, "benchmark decontamination": lambda rows: without_benchmark(rows, items)}
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, at = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, at, sf)
         assert after.columns == columns
         ids = {r[0] for r in after.select("doc_id").collect()}
-        assert ids and ids <= {r[0] for r in at.select("doc_id").collect()}, name
+        before = at.collect()
+        assert ids and ids <= {r["doc_id"] for r in before}, name
+        assert name not in plain or ids == plain[name](before), name
         at = spark.createDataFrame(after.collect(), docs.schema)
     v = Vocabulary.load(PIECES)
     texts = {r["doc_id"]: r["text"] for r in at.collect()}

@@ -71,3 +71,10 @@ def test_clean_rows_that_share_an_id_stay(spark):
     left = drop_contaminated(docs, items)
     assert left.columns == docs.columns
     assert sorted(r["row"] for r in left.collect()) == ["b", "c", "e", "f", "i"]
+
+
+def test_ids_and_texts_that_join_to_the_same(spark):
+    words = " ".join(f"c{i}" for i in range(12))
+    docs = spark.createDataFrame([("a|b", words), ("a", "b|" + words), ("null", "x"), (None, words)], "doc_id string, text string")
+    got = contamination(docs, spark.createDataFrame([(1, "b " + words)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_hit"]) for r in got} == {("a|b", 12), ("a", 13), ("null", 0), (None, 12)}

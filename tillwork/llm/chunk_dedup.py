@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import materialize, send_by_value, text_slices
+from tillwork.llm.common import MOST_KEYS, materialize, send_by_value, small, text_slices
 
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
 WINDOW = 16
@@ -146,11 +146,22 @@ def _with_bytes(held, cut, shared, id_type) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their columns; a row repeated whole stays once."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    held = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    once = held.dropDuplicates([id_col, "_key"])
-    return (once.join(kept, once[id_col].eqNullSafe(kept["_id"]) & (once["_key"] == kept["_sha"]), "left_semi").drop("_key"))
+    """The rows of `docs` that stay, with their columns. Of equal texts the row with the largest id stays,
+    of rows that agree in id and text the one whose other columns have the largest digest, and of rows
+    repeated whole one. Texts are not moved to find out, only keys and chunks are."""
+    others = F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.lit(0).alias("end")), {"ignoreNullFields": "false"}))
+    named = docs.select(F.struct(docs[id_col].isNotNull().alias("some"), docs[id_col].alias("id"), others.alias("others")).alias("id"),
+                        docs[text_col].alias("text"))
+    judged = exact_duplicates(named, "id", "text")
+    listed = judged.groupBy("id.others", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    listed = materialize(listed.where("n > 1 or not stays").select(F.col("others").alias("_others"), F.col("text_sha256").alias("_sha"), "stays"), "repeats")
+    same = (others == listed["_others"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == listed["_sha"])
+    alone = docs.join(small(listed, MOST_KEYS), same, "left_anti")
+    repeated = docs.join(small(listed.where("stays"), MOST_KEYS), same, "left_semi")
+    once = "_once"
+    while once in docs.columns:
+        once += "_"
+    return alone.unionByName(repeated.withColumn(once, others).dropDuplicates([once, text_col]).drop(once))
 
 
 send_by_value(sys.modules[__name__])

@@ -21,6 +21,7 @@ from tillwork.session import materialize, small
 __all__ = ["materialize", "small", "ascii_lower", "row_key", "text_slices", "column_bytes", "word_hashes", "mix", "crc32_fold"]
 
 SLICE_BYTES = 2 << 20
+MOST_KEYS = 1_000_000       # so many keys (some 50 bytes each) may be broadcast; more are joined by a shuffle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,8 +31,12 @@ def ascii_lower(text):
 
 
 def row_key(id_col, text):
-    """A key of (id, text), null-safe: rows that agree in both are repeats of one row."""
-    return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit("|"), F.coalesce(text, F.lit(""))))
+    """A key of (id, text): rows that agree in both are repeats of one row. The id's length stands before
+    it and null has a form of its own, so that no two different pairs are written alike; a null text counts
+    as empty."""
+    named = id_col.cast("string")
+    return F.md5(F.concat(F.coalesce(F.concat(F.length(named).cast("string"), F.lit(":"), named), F.lit("-")), F.lit("|"),
+                          F.coalesce(text, F.lit(""))))
 
 
 def crc32_fold(id_col, folds: int):

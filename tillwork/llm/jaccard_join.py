@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import materialize, mix, send_by_value, text_slices, word_hashes
+from tillwork.llm.common import MOST_KEYS, materialize, mix, row_key, send_by_value, small, text_slices, word_hashes
 from tillwork.llm.components import components
 
 # Largest size for which subsets are ever enumerated; the cost decides below it.
@@ -351,11 +351,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of `docs` whose id names their component, with their columns. Rows that share an id,
-    null included, stay together."""
-    held = jaccard_components(docs, id_col, text_col, k, percent)
-    kept = held.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of `docs` that name their component, with their columns: of linked documents that with the
+    smallest id (null last), of rows that share that id the one with the smallest key of id and text. Rows
+    that agree in id and text are one document and stay or go together. Documents without words stay."""
+    key = row_key(docs[id_col], docs[text_col])
+    named = docs.select(F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), key.alias("key")).alias("id"), docs[text_col].alias("text"))
+    judged = jaccard_components(named, "id", "text", k, percent)
+    gone = materialize(judged.where(F.col("id.key") != F.col("component_id.key")).select(F.col("id.key").alias("_gone")).distinct(), "similar")
+    return docs.join(small(gone, MOST_KEYS), key == gone["_gone"], "left_anti")
 
 
 send_by_value(sys.modules[__name__])
