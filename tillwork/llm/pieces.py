@@ -30,7 +30,7 @@ from tillwork.llm.common import send_by_value
 
 MARK = "▁"             # stands for a space
 UNKNOWN_PENALTY = 10.0      # a character outside the vocabulary scores this much below the worst piece
-SLICE_CHARS = 2 << 20       # texts that are handled at once; a longer text is handled alone
+SLICE_CHARS = 1 << 19       # texts that are handled at once; a longer text is handled alone
 SHORT = 64                  # longer words are solved one by one
 
 
