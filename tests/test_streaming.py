@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tillwork.session import scratch_path
 from tillwork.sources import mapping
-from tillwork.streaming import events, feature_stream as job
+from tillwork.streaming import events, feature_sink as sinks, feature_stream as job
+from tillwork.streaming.processors import window_features
 
 BASE = datetime(2026, 1, 1)
 
@@ -37,11 +38,11 @@ def feed(spark, batches):
                                spark.range(0).selectExpr("'' value", "0 part", "0L offset").schema)
 
 
-def run(spark, stream):
+def run(spark, stream, **sink):
     path = scratch_path(spark, "out")
-    query = job.write_offline(stream, path, scratch_path(spark, "ckpt"), available_now=True)
+    query = job.write_features(stream, sinks.FeatureSink(path, **sink), scratch_path(spark, "ckpt"), available_now=True)
     assert query.awaitTermination(300)
-    return spark.read.parquet(path), query
+    return sinks.features(spark, path), query
 
 
 def by_id(df):
@@ -78,7 +79,8 @@ def test_state_from_history(spark):
     fct = spark.createDataFrame(history, "transaction_id string, card_token string, merchant_id string, amount double,"
                                          "created_at timestamp, ip_country string")
     valid, _invalid = events.parse_events(feed(spark, [[message(100, "c", 2400, 20.0, country="US"), message(5, "c", 2401)]]))
-    rows, _query = run(spark, job.feature_stream(valid, state=job.initial_state(fct)))
+    cards, merchants = job.initial_state(fct)
+    rows, _query = run(spark, job.feature_stream(valid, cards=cards), merchants=merchants)
     got = by_id(rows)
     assert set(got) == {("100", False)}     # transaction 5 is known from the history
     r = got["100", False]
@@ -102,7 +104,7 @@ def test_scoring_fails_open(spark):
     model = scoring.train(train, iterations=3, depth=2)
     batch = [message(1, "c", 0, 900.0), message(2, "c", 5, 15.0), {**message(3, "c", 9), "currency": "XXX"}]
     valid, _invalid = events.parse_events(feed(spark, [batch]))
-    rows, _query = run(spark, job.feature_stream(valid, score=scoring.score_stream(model, mapping.fx_rates(spark))))
+    rows, _query = run(spark, job.feature_stream(valid), score=scoring.score_stream(model, mapping.fx_rates(spark)))
     got = by_id(rows)
     assert got["1", False]["fraud_score"] > 0.5 > got["2", False]["fraud_score"]
     assert got["3", False]["fraud_score"] is None and got["3", False]["card_txn_count_5m"] == 3
@@ -134,12 +136,12 @@ def test_state_expiry_mode_runs(spark):
 
     valid, _invalid = events.parse_events(feed(spark, [[message(1, "c", 0), message(2, "c", 10)]]))
     path = scratch_path(spark, "ttl")
-    query = job.write_offline(job.feature_stream(valid, ttl_days=job.STATE_TTL_DAYS), path, scratch_path(spark, "ckpt"))
+    query = job.write_features(job.feature_stream(valid, ttl_days=job.STATE_TTL_DAYS), sinks.FeatureSink(path), scratch_path(spark, "ckpt"))
     try:
         deadline = time.time() + 120
         while time.time() < deadline and not any(p.numInputRows for p in query.recentProgress):
             time.sleep(0.5)
-        assert by_id(spark.read.parquet(path))["2", False]["card_txn_count_5m"] == 2
+        assert by_id(sinks.features(spark, path))["2", False]["card_txn_count_5m"] == 2
     finally:
         query.stop()
 
@@ -153,11 +155,11 @@ def test_stateful_steps_travel_without_the_package(tmp_path):
 
     from tillwork.streaming import processors
 
-    steps = [processors.LateTagger(600), processors.CardFeatures(60), processors.MerchantScore()]
+    steps = [processors.LateTagger(600), processors.CardFeatures(60)]
     (tmp_path / "steps").write_bytes(cloudpickle.dumps(steps))
     code = "import pickle,sys; print([type(s).__name__ for s in pickle.load(open('steps','rb'))], 'tillwork' in sys.modules)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert done.stdout.strip() == "['LateTagger', 'CardFeatures', 'MerchantScore'] False", done.stderr
+    assert done.stdout.strip() == "['LateTagger', 'CardFeatures'] False", done.stderr
 
 
 def test_outcomes_add_up_over_any_number_of_batches(spark, tmp_path):
@@ -182,3 +184,95 @@ def test_lag_is_a_number_per_partition():
     rows = lag_rows("k", '{"t": {"0": 5}}', '{"t": {"0": 9, "1": 4}, "u": {"0": 1}}')
     assert [(r["topic"], r["partition"], r["lag"]) for r in rows] == [("t", 0, 4), ("t", 1, 4), ("u", 0, 1)]
     assert lag_rows("f", '{"logOffset": 3}', None) == [] and lag_rows("f", "3", "x") == [] and lag_rows("f", None, '{"a": 1}') == []
+
+
+def plain_windows(ts, amounts, at, held, last):
+    """Row by row: a window that the newest time so far cuts off."""
+    window, out = list(zip(at, held)), []
+    for t, a in zip(ts, amounts):
+        last = t if last is None else max(last, t)
+        window = [(x, v) for x, v in window + [(t, a)] if x > last - 3600 * 10**6]
+        seen = [(x, v) for x, v in window if x <= t]
+        out.append((sum(x >= t - 300 * 10**6 for x, _ in seen), sum(v for _, v in seen)))
+    return out, sorted(window)
+
+
+def test_windows_against_row_by_row():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(150):
+        n, base, ts = rng.randint(1, 60), 10**12, []
+        for _ in range(n):
+            base += rng.choice([0, 1, 30, 200, 900, 4000]) * 10**6
+            ts.append(base - rng.choice([0, 0, 0, 1, 100, 599]) * 10**6)
+        amounts = [rng.randint(1, 9) for _ in ts]
+        cut = rng.randint(0, n - 1)
+        want, left = plain_windows(ts, amounts, [], [], None)
+        arrays = [np.array(x, np.int64) for x in (ts[:cut], amounts[:cut], ts[cut:], amounts[cut:])]
+        at, held, last, got = np.zeros(0, np.int64), np.zeros(0, np.int64), None, []
+        for t, a in (arrays[:2], arrays[2:]):
+            if len(t):
+                counts, sums, newest, at, held = window_features(t, a, at, held, last)
+                last = int(newest[-1])
+                got += list(zip(counts.tolist(), sums.tolist()))
+        assert got == want and sorted(zip(at.tolist(), held.tolist())) == left
+
+
+def test_a_busy_merchant_is_split_and_batches_add_up(spark, split):
+    import random
+    import statistics
+
+    rng = random.Random(8)
+    amounts = [round(rng.uniform(1, 500), 2) for _ in range(120)]
+    moments, got = spark.createDataFrame([("idle", 3, 5.0, 1.0)], sinks.MOMENTS), {}
+    for low in (0, 50, 51):
+        high = {0: 50, 50: 51, 51: 120}[low]
+        rows = spark.createDataFrame([(i, 0, i % 10 == 3, "m", amounts[i]) for i in range(low, high)], "offset long, part int, is_late boolean, merchant_id string, amount double")
+        scored, moments = sinks.merchant_scores(rows.repartition(3), moments)
+        got |= {r["offset"]: r["merchant_amount_zscore"] for r in scored.collect()}
+        moments = spark.createDataFrame(moments.collect(), sinks.MOMENTS)
+    before = []
+    for i, amount in enumerate(amounts):
+        if i % 10 == 3:
+            assert got[i] is None
+            continue
+        want = (amount - statistics.mean(before)) / statistics.stdev(before) if len(before) >= 30 else 0.0
+        assert got[i] == pytest.approx(want, abs=1e-9)
+        before.append(amount)
+    carried = {r["merchant_id"]: r for r in moments.collect()}
+    assert carried["idle"]["n"] == 3 and carried["m"]["n"] == len(before) and carried["m"]["mean"] == pytest.approx(statistics.mean(before))
+
+
+def test_a_repeated_batch_replaces_itself_and_errors_leave_rows_unscored(spark):
+    def broken(rows):
+        return rows.withColumn("fraud_score", F.raise_error(F.lit("out of order")).cast("double")).withColumn("model_version", F.lit("1"))
+
+    path = scratch_path(spark, "sink")
+    sink = sinks.FeatureSink(path, score=broken)
+    columns = "offset long, part int, is_late boolean, merchant_id string, amount double, transaction_id string, card_token string, currency string, " \
+              "entry_mode string, event_time timestamp, processed_at timestamp, card_txn_count_5m long, card_amount_sum_1h double, " \
+              "seconds_since_last_card_txn double, is_new_ip_country boolean"
+    row = (1, 0, False, "m", 5.0, "t", "c", "CAD", "chip", BASE, BASE, 1, 5.0, None, False)
+    for batch_id in (0, 1, 1):
+        sink(spark.createDataFrame([row], columns), batch_id)
+    rows = sinks.features(spark, path).collect()
+    assert len(rows) == 2 and all(r["fraud_score"] is None and "out of order" in r["score_error"] for r in rows)
+    metrics = {(r["labels"]["outcome"], r["value"]) for r in sinks.outcome_metrics(spark, path).collect()}
+    assert metrics == {("processed", 1.0), ("late", 0.0), ("scored", 0.0), ("failed", 1.0)}
+    last = spark.read.parquet(f"{path}/moments").where("batch = 1").first()
+    assert (last["merchant_id"], last["n"]) == ("m", 2)
+
+
+def test_the_listener_writes_lag_that_the_alert_rule_reads(spark, tmp_path):
+    from types import SimpleNamespace
+
+    progress = SimpleNamespace(timestamp="2026-01-01T00:00:00.000Z", sources=[SimpleNamespace(
+        description="k", endOffset='{"t": {"0": 5}}', latestOffset='{"t": {"0": 90, "1": 4}}')])
+    listener = sinks.LagListener(spark, str(tmp_path / "lag"))
+    listener.onQueryProgress(SimpleNamespace(progress=progress))
+    listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(timestamp="x", sources=[SimpleNamespace(description="f", endOffset="3", latestOffset=None)])))
+    rows = spark.read.parquet(str(tmp_path / "lag")).collect()
+    assert {(r["metric"], r["labels"]["partition"], r["value"]) for r in rows} == {("stream_consumer_lag", "0", 85.0), ("stream_consumer_lag", "1", 4.0)}

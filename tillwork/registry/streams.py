@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tillwork.registry.base import features_sql, query
 from tillwork.session import scratch_path
 from tillwork.streaming import events as source
+from tillwork.streaming import feature_sink as sinks
 from tillwork.streaming import feature_stream as job
 
 DRAIN_SECONDS = 1800
+BATCHES, FILES = 6, 4       # micro-batches of a replay, and files of each
 
 
-def replay(spark, sf_dir) -> DataFrame:
-    """The events table as a stream of raw messages. Some events are sent again soon after
-    (repeats), some much later (late), and some with an unreadable amount."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = source.event_stream(spark, "parquet", {"path": sf_dir, "pathGlobFilter": "events*.parquet",
-                                                  "maxFilesPerTrigger": "1"}, schema)
+def messages(spark, sf_dir) -> DataFrame:
+    """The events table as raw messages. Some events are sent again soon after (repeats), some much
+    later (late), and some with an unreadable amount."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.col("event_id")
 
     def copy(when, offset, bad=False):
@@ -38,6 +38,41 @@ def replay(spark, sf_dir) -> DataFrame:
     return sent.select(message.alias("value"), (F.col("user_id") % 3).cast("int").alias("part"), F.col("c.offset").alias("offset"))
 
 
+def stream_of(sent: DataFrame) -> DataFrame:
+    """Messages as a stream of BATCHES micro-batches in order of their offsets."""
+    spark, folder = sent.sparkSession, scratch_path(sent.sparkSession, "messages")
+    low, high = sent.agg(F.min("offset"), F.max("offset")).first()
+    place = F.floor((F.col("offset") - (low or 0)) * BATCHES / ((high or 0) - (low or 0) + 1))
+    for k in range(BATCHES):
+        sent.where(place == k).repartition(FILES).write.mode("append").parquet(folder)
+    return source.event_stream(spark, "parquet", {"path": folder, "maxFilesPerTrigger": str(FILES)}, sent.schema)
+
+
+def replay(spark, sf_dir) -> DataFrame:
+    return stream_of(messages(spark, sf_dir))
+
+
+_jobs: dict[tuple[str, str], str] = {}
+
+
+def feature_job(spark, sf_dir) -> str:
+    """The folder of the feature job run over the events: features, moments, outcomes, online rows. The
+    queries below look at different outputs of one run, so a session runs it once for a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _jobs:
+        path = scratch_path(spark, "feature-job")
+        valid, _invalid = source.parse_events(replay(spark, sf_dir))
+        sink = sinks.FeatureSink(path, also=[job.serve_latest(f"{path}/online")])
+        # Stopped after the first batch's commit and started again: the second run goes on from the checkpoint.
+        for _ in range(2):
+            running = job.write_features(job.feature_stream(valid), sink, f"{path}/checkpoint", available_now=True)
+            if not running.awaitTermination(DRAIN_SECONDS):
+                running.stop()
+                raise TimeoutError("feature job did not finish")
+        _jobs[key] = path
+    return _jobs[key]
+
+
 def drain(stream: DataFrame, label: str):
     """Run a stream over all its input and return (rows, query)."""
     spark = stream.sparkSession
@@ -82,8 +117,7 @@ SHOWN = ("transaction_id", "card_token", "merchant_id", "is_late", "amount", "ev
 
 @query("stream_features", f"with {T_SENT} select * from offline")
 def _(spark, sf_dir):
-    valid, _invalid = source.parse_events(replay(spark, sf_dir))
-    rows, _query = drain(job.feature_stream(valid), "features")
+    rows = sinks.features(spark, feature_job(spark, sf_dir))
     return rows.select(*SHOWN).withColumns({
         "card_amount_sum_1h": F.round("card_amount_sum_1h", 4), "merchant_amount_zscore": F.round("merchant_amount_zscore", 6),
         "event_time": F.col("event_time").cast("timestamp_ntz")})
@@ -119,22 +153,81 @@ def _(spark, sf_dir):
     union all select 'invalid', count(*) from sent where bad
     union all select 'duplicate', (select count(*) from tagged where not is_late) - (select count(*) from kept)""")
 def _(spark, sf_dir):
-    messages, _query = drain(source.decode(replay(spark, sf_dir)).select("valid"), "messages")
-    valid, _invalid = source.parse_events(replay(spark, sf_dir))
-    rows, _query = drain(job.feature_stream(valid).select("is_late"), "outcomes")
-    return job.outcomes(messages, rows)
+    read, _query = drain(source.decode(replay(spark, sf_dir)).select("valid"), "messages")
+    return job.outcomes(read, sinks.features(spark, feature_job(spark, sf_dir)))
 
 
 @query("online_features", f"""with {T_SENT}
     select transaction_id, card_token, card_txn_count_5m, card_amount_sum_1h from on_time
     qualify row_number() over (partition by card_token order by event_time desc, transaction_id desc) = 1""")
 def _(spark, sf_dir):
+    online = job.online_view(spark, f"{feature_job(spark, sf_dir)}/online")
+    return online.select("transaction_id", "card_token", "card_txn_count_5m", F.round("card_amount_sum_1h", 4).alias("card_amount_sum_1h"))
+
+
+@query("stream_moments", f"""with {T_SENT}
+    select event_type as merchant_id, count(*) as n, round(avg(value), 6) as mean, round(var_samp(value), 4) as variance
+    from kept group by event_type""")
+def _(spark, sf_dir):
+    """The moments that the last batch carried on."""
+    path = feature_job(spark, sf_dir)
+    last = spark.read.parquet(f"{path}/moments").agg(F.max("batch")).first()[0]
+    moments = spark.read.parquet(f"{path}/moments").where(F.col("batch") == last)
+    return moments.select("merchant_id", "n", F.round("mean", 6).alias("mean"), F.round(F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1)), 4).alias("variance"))
+
+
+@query("stream_outcome_metrics", f"""with {T_SENT}
+    select 'processed' as outcome, count(*)::double as value from kept
+    union all select 'late', count(*) from tagged where is_late
+    union all select 'scored', 0 union all select 'failed', 0""")
+def _(spark, sf_dir):
+    """The metrics of all batches together."""
+    metrics = sinks.outcome_metrics(spark, feature_job(spark, sf_dir))
+    return metrics.groupBy(F.col("labels")["outcome"].alias("outcome")).agg(F.sum("value").alias("value"))
+
+
+@query("stream_fail_open", f"""with {T_SENT}
+    select cast(event_id as varchar) as transaction_id, is_late, fraud_score, score_error from (
+        select event_id, false as is_late, null::double as fraud_score, 'ValueError: no model' as score_error from kept
+        union all select event_id, true, null, 'ValueError: no model' from tagged where is_late)""")
+def _(spark, sf_dir):
+    """A model that fails leaves the stream running and its rows without a score."""
+    def broken(rows):
+        raise ValueError("no model")
+
+    path = scratch_path(spark, "fail-open")
     valid, _invalid = source.parse_events(replay(spark, sf_dir))
-    target = scratch_path(spark, "online")
-    running = (job.feature_stream(valid).writeStream.foreachBatch(job.serve_latest(target)).outputMode("append")
-               .option("checkpointLocation", scratch_path(spark, "online-checkpoint")).trigger(availableNow=True).start())
+    running = job.write_features(job.feature_stream(valid), sinks.FeatureSink(path, score=broken), f"{path}/checkpoint", available_now=True)
     if not running.awaitTermination(DRAIN_SECONDS):
         running.stop()
-        raise TimeoutError("stream online did not finish")
-    return job.online_view(spark, target).select("transaction_id", "card_token", "card_txn_count_5m",
-                                                F.round("card_amount_sum_1h", 4).alias("card_amount_sum_1h"))
+        raise TimeoutError("stream did not finish")
+    return sinks.features(spark, path).select("transaction_id", "is_late", "fraud_score", "score_error")
+
+
+@query("stream_dedupe_ttl", f"""with {T_SENT},
+    again as (
+        select event_id, ts + (h * interval 1 hour) as ts, event_id * 10 + o as "offset"
+        from (select event_id, ts from events where event_id % 7 = 0) e, (values (0, 0), (1, 3), (5, 5), (9, 7)) c(h, o)),
+    -- Two hours are remembered: a repeat within them is dropped, one after them counts as a transaction and starts anew.
+    walked as (
+        select event_id, list(ts order by "offset") as times from again group by event_id),
+    chosen as (
+        select event_id, unnest(list_reduce(list_prepend([times[1]], list_transform(times[2:], lambda t: [t])),
+                   lambda a, x: case when x[1] <= a[len(a)] + interval 2 hour then a else a || x end)) as ts from walked)
+    select cast(event_id as varchar) as transaction_id, ts as event_time from chosen""")
+def _(spark, sf_dir):
+    """Every seventh event sent again 1, 5 and 9 hours later, one after the other, when two hours of ids are remembered."""
+    i = F.col("event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(i % 7 == 0)
+    copies = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(o).alias("o")) for h, o in ((0, 0), (1, 3), (5, 5), (9, 7))])
+    sent = rows.select("event_id", "event_type", "value", (i * 10).alias("first"), "ts", F.explode(copies).alias("c"))
+    later = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("c.h") * 3_600_000_000)
+    # Every event is a source partition and a card of its own, so that only repeats decide.
+    message = F.to_json(F.struct(
+        i.cast("string").alias("transaction_id"), i.cast("string").alias("card_token"), F.col("event_type").alias("merchant_id"),
+        F.col("value").cast("string").alias("amount"), F.lit("CAD").alias("currency"), F.lit("chip").alias("entry_mode"),
+        F.date_format(later, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at")))
+    sent = sent.select(message.alias("value"), i.cast("int").alias("part"), (F.col("first") + F.col("c.o")).alias("offset"))
+    valid, _invalid = source.parse_events(stream_of(sent))
+    rows, _query = drain(job.card_features(job.tag_late(valid), dedupe_seconds=7200).select("transaction_id", "event_time"), "dedupe-ttl")
+    return rows.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))

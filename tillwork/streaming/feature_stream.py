@@ -1,4 +1,5 @@
-"""The streaming feature job: tag late events, drop repeats, compute features, score, store."""
+"""The streaming feature job: tag late events, drop repeats, compute the card's features. The sink
+(feature_sink.py) adds merchant and model scores and stores the rows."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from tillwork.operators.dedupe import latest_by
 from tillwork.plans.features import card_state, merchant_moments, recent
 from tillwork.functions.scalars import micros
 from tillwork.streaming import processors
-from tillwork.streaming.processors import CardFeatures, LateTagger, MerchantScore
+from tillwork.streaming.processors import CardFeatures, LateTagger
 
 # The stateful steps travel with the query, so no worker needs this package installed.
 cloudpickle.register_pickle_by_value(processors)
@@ -56,14 +57,6 @@ def card_features(tagged: DataFrame, dedupe_seconds: int = DEDUPE_SECONDS, initi
         initialState=None if initial is None else initial.groupBy("card_token"))
 
 
-def merchant_zscore(stream: DataFrame, initial: DataFrame | None = None, ttl_days: int | None = None) -> DataFrame:
-    mode, ttl = _mode(ttl_days)
-    schema = _with(stream.schema, ("merchant_amount_zscore", T.DoubleType()))
-    return stream.groupBy("merchant_id").transformWithStateInPandas(
-        MerchantScore(ttl), schema, "append", mode,
-        initialState=None if initial is None else initial.groupBy("merchant_id"))
-
-
 def dedupe_events(events: DataFrame, within: str = "24 hours") -> DataFrame:
     """First event per transaction, for streams that need nothing else."""
     return events.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["transaction_id"])
@@ -85,32 +78,19 @@ def initial_state(fct: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cards, merchant_moments(fct)
 
 
-def feature_stream(events: DataFrame, lateness_seconds: float = ALLOWED_LATENESS_SECONDS,
-                   state: tuple[DataFrame, DataFrame] | None = None,
-                   score: Callable[[DataFrame], DataFrame] | None = None, dedupe_seconds: int = DEDUPE_SECONDS,
-                   ttl_days: int | None = None) -> DataFrame:
-    """Valid events to offline feature rows. The counts of each outcome are observed as `outcomes`.
-    Pass ttl_days (STATE_TTL_DAYS) in a job that runs on."""
-    cards, merchants = state if state is not None else (None, None)
-    featured = card_features(tag_late(events, lateness_seconds), dedupe_seconds, cards, ttl_days)
-    rows = merchant_zscore(featured, merchants, ttl_days)
-    rows = rows.withColumn("processed_at", F.current_timestamp()).observe(
+def feature_stream(events: DataFrame, lateness_seconds: float = ALLOWED_LATENESS_SECONDS, cards: DataFrame | None = None,
+                   dedupe_seconds: int = DEDUPE_SECONDS, ttl_days: int | None = None) -> DataFrame:
+    """Valid events to rows with the card's features. The counts of each outcome are observed as
+    `outcomes`. Pass ttl_days (STATE_TTL_DAYS) in a job that runs on."""
+    rows = card_features(tag_late(events, lateness_seconds), dedupe_seconds, cards, ttl_days)
+    return rows.withColumn("processed_at", F.current_timestamp()).observe(
         "outcomes", F.count_if(~F.col("is_late")).alias("processed"), F.count_if("is_late").alias("late"))
-    if score is not None:
-        rows = score(rows)
-    else:
-        rows = rows.withColumns({"fraud_score": F.lit(None).cast("double"), "model_version": F.lit(None).cast("string")})
-    return rows.select(
-        "transaction_id", "card_token", "merchant_id", "event_time", "amount", "currency", "entry_mode", "is_late",
-        "processed_at", "card_txn_count_5m", "card_amount_sum_1h", "seconds_since_last_card_txn", "is_new_ip_country",
-        "merchant_amount_zscore", "fraud_score", "model_version")
-
-
-def write_offline(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append feature rows to Parquet by processing day. The checkpoint and the sink's file log
-    make each row appear once."""
-    writer = (stream.withColumn("date", F.to_date("processed_at")).writeStream.format("parquet")
-              .partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
+
+
+def write_features(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Run a feature stream into its sink. The checkpoint and the sink's numbered folders make each row
+    appear once, also over restarts."""
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 

@@ -3,7 +3,6 @@ rows of a key in arrival order; the trigger limit of the source bounds how many
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
 COUNT_WINDOW, SUM_WINDOW = 300 * MICROS, 3600 * MICROS
-MIN_MERCHANT_ROWS = 30
 
 
 def _arrivals(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -41,116 +39,118 @@ class LateTagger(StatefulProcessor):
         pass
 
 
+def window_features(ts, amounts, at, held, last):
+    """(count of five minutes, sum of an hour) for new transactions in order of arrival, and what is left
+    in the window after them. `at` (ascending) and `held` are the times and amounts that are in it before;
+    `last` is the newest time so far. Each row sees what has arrived up to itself, is not newer than itself
+    and has not left the window, which moves with the newest time.
+
+    Prefix sums over all rows by time count what lies in a range; of that, rows that arrive later are taken
+    off again. Only rows that are not newer than one before them can be such, so the loop is over those.
+    """
+    newest = np.maximum.accumulate(ts) if last is None else np.maximum(np.maximum.accumulate(ts), last)
+    low = newest - SUM_WINDOW
+    times, values = np.concatenate([at, ts]), np.concatenate([held, amounts])
+    order = np.argsort(times, kind="stable")
+    times, values = times[order], values[order]
+    upto = np.concatenate([[0], np.cumsum(values)])
+    high, bottom = np.searchsorted(times, ts, "right"), np.searchsorted(times, low, "right")
+    sums = upto[high] - upto[bottom]
+    counts = high - np.maximum(np.searchsorted(times, ts - COUNT_WINDOW, "left"), bottom)
+    for x in (np.flatnonzero(ts[1:] <= newest[:-1]) + 1).tolist():
+        first = int(np.searchsorted(newest[:x], ts[x], "left"))
+        early = (ts[first:x] >= ts[x]) & (low[first:x] < ts[x])
+        sums[first:x] -= np.where(early, amounts[x], 0)
+        counts[first:x] -= early & (ts[first:x] - COUNT_WINDOW <= ts[x])
+    stays = times > newest[-1] - SUM_WINDOW
+    return counts, sums, newest, times[stays], values[stays]
+
+
 class CardFeatures(StatefulProcessor):
     """Drops repeats of a transaction and adds the card's window features. Late rows pass through
-    untouched, without features, and leave the state alone."""
+    untouched, without features, and leave the state alone.
 
-    STATE = ("last long, countries array<string>, at array<long>, amount array<long>,"
-             "seen array<string>, seen_at array<long>")
+    Each transaction id is an entry of its own in a map, so a batch reads and writes its own ids only. An
+    id blocks repeats up to `dedupe` after its time. With a time to live Spark drops each id that long after
+    it came; otherwise ids go when the card's newest time has passed them, found by the hour they are filed under.
+    """
 
     def __init__(self, dedupe_seconds: int, ttl_ms: int | None = None):
         self.dedupe, self.ttl = dedupe_seconds * MICROS, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("card", self.STATE, self.ttl)
+        self.state = handle.getValueState("card", "last long, countries array<string>, at array<long>, amount array<long>", self.ttl)
+        self.seen = handle.getMapState("seen", "id string", "at long", None if self.ttl is None else self.dedupe // 1000)
+        self.filed = handle.getMapState("filed", "hour long", "ids array<string>", self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Start from history: last time, known countries, and the last hour's transactions."""
         row = initialState.iloc[0]
         ordered = sorted(zip(row["recent_at"], row["recent_amount"], row["recent_id"]))
-        self.state.update((int(row["last_micros"]), list(row["ip_countries"]), [int(a) for a, _, _ in ordered],
-                           [round(v * MICROS) for _, v, _ in ordered], [i for _, _, i in ordered],
-                           [int(a) for a, _, _ in ordered]))
+        last = int(row["last_micros"])
+        self.state.update((last, list(row["ip_countries"]), [int(a) for a, _, _ in ordered], [round(v * MICROS) for _, v, _ in ordered]))
+        self._file({i: int(a) for a, _, i in ordered}, last)
+
+    def _file(self, ids: dict[str, int], last: int) -> None:
+        """Remember ids, and forget those of hours that have passed."""
+        hours: dict[int, list[str]] = {}
+        for txn, at in ids.items():
+            self.seen.updateValue((txn,), (at,))
+            hours.setdefault(at // SUM_WINDOW, []).append(txn)
+        if self.ttl is not None:
+            return
+        for hour, own in hours.items():
+            before = list(self.filed.getValue((hour,))[0]) if self.filed.containsKey((hour,)) else []
+            self.filed.updateValue((hour,), (before + own,))
+        for (hour,) in [tuple(k) for k in self.filed.keys()]:
+            if (hour + 1) * SUM_WINDOW <= last - self.dedupe:
+                for txn in self.filed.getValue((hour,))[0]:
+                    # An id that came again is filed under its newer hour as well.
+                    if self.seen.containsKey((txn,)) and self.seen.getValue((txn,))[0] // SUM_WINDOW <= hour:
+                        self.seen.removeKey((txn,))
+                self.filed.removeKey((hour,))
+
+    def _first(self, ids: list[str], ts: list[int], on_time: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
+        """Which rows are no repeats, and the ids they leave behind."""
+        keep, left, known = np.ones(len(ids), bool), {}, {}
+        for i in np.flatnonzero(on_time).tolist():
+            txn = ids[i]
+            if txn not in known:
+                known[txn] = self.seen.getValue((txn,))[0] if self.seen.containsKey((txn,)) else None
+            if known[txn] is not None and ts[i] <= known[txn] + self.dedupe:
+                keep[i] = False
+            else:
+                known[txn] = left[txn] = ts[i]
+        return keep, left
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _arrivals(rows)
-        if self.state.exists():
-            last, countries, at, amounts, seen_ids, seen_at = self.state.get()
-        else:
-            last, countries, at, amounts, seen_ids, seen_at = None, [], [], [], [], []
-        countries, seen = set(countries), dict(zip(seen_ids, seen_at))
-        window = sorted(zip(at, amounts))
-        total = sum(v for _, v in window)
-        keep, counts, sums, gaps, news = [], [], [], [], []
-        for i, (late, txn, ts, amount, country) in enumerate(zip(
-                batch["is_late"], batch["transaction_id"], batch["micros"], batch["amount"], batch["ip_country"])):
-            if late:
-                keep.append(i)
-                for column in (counts, sums, gaps, news):
-                    column.append(None)
-                continue
-            if txn in seen:
-                continue
-            seen[txn] = ts
-            entry = (ts, round(amount * MICROS))
-            insort(window, entry)
-            total += entry[1]
-            expired = bisect_right(window, (ts - SUM_WINDOW, float("inf")))
-            total -= sum(v for _, v in window[:expired])
-            del window[:expired]
-            upto = bisect_right(window, (ts, float("inf")))
-            inside = total - sum(v for _, v in window[upto:])
-            keep.append(i)
-            counts.append(upto - bisect_left(window, (ts - COUNT_WINDOW, float("-inf"))))
-            sums.append(inside / MICROS)
-            gaps.append((ts - last) / MICROS if last is not None and ts >= last else None)
-            known = isinstance(country, str) and country != ""
-            news.append(known and bool(countries) and country not in countries)
-            if known:
-                countries.add(country)
-            last = ts if last is None else max(last, ts)
-        if last is not None:
-            fresh = {t: a for t, a in seen.items() if a >= last - self.dedupe}
-            self.state.update((int(last), sorted(countries), [int(a) for a, _ in window], [int(v) for _, v in window],
-                               list(fresh), [int(a) for a in fresh.values()]))
-        out = batch.iloc[keep].reset_index(drop=True)
-        out["card_txn_count_5m"] = pd.array(counts, dtype="Int64")
+        on_time = ~batch["is_late"].to_numpy(dtype=bool)
+        keep, left = self._first(batch["transaction_id"].tolist(), batch["micros"].tolist(), on_time)
+        out = batch[keep].reset_index(drop=True)
+        fresh = np.flatnonzero(on_time[keep])
+        counts, sums, gaps, news = (np.full(len(out), np.nan) for _ in range(4))
+        if len(fresh):
+            last, countries, at, held = self.state.get() if self.state.exists() else (None, [], [], [])
+            ts = out["micros"].to_numpy(np.int64)[fresh]
+            amounts = np.rint(out["amount"].to_numpy(float)[fresh] * MICROS).astype(np.int64)
+            by_time = np.argsort(np.array(at, np.int64), kind="stable")
+            counts[fresh], total, newest, at, held = window_features(
+                ts, amounts, np.array(at, np.int64)[by_time], np.array(held, np.int64)[by_time], last)
+            sums[fresh] = total / MICROS
+            before = np.concatenate([[ts[0] + 1 if last is None else last], newest[:-1]])
+            gaps[fresh] = np.where(ts >= before, (ts - before) / MICROS, np.nan)
+            named = out["ip_country"].iloc[fresh].fillna("").astype(str).reset_index(drop=True)
+            known = (named != "").to_numpy()
+            earlier = np.cumsum(known) - known + len(countries) > 0
+            news[fresh] = known & earlier & ~named.duplicated().to_numpy() & ~named.isin(list(countries)).to_numpy()
+            self.state.update((int(newest[-1]), sorted({*countries, *named[known]}), at.tolist(), held.tolist()))
+            self._file(left, int(newest[-1]))
+        out["card_txn_count_5m"] = pd.array(pd.Series(counts), dtype="Int64")
         out["card_amount_sum_1h"] = pd.array(sums, dtype="Float64")
         out["seconds_since_last_card_txn"] = pd.array(gaps, dtype="Float64")
-        out["is_new_ip_country"] = pd.array(news, dtype="boolean")
+        out["is_new_ip_country"] = pd.array(pd.Series(news).astype("Int64"), dtype="boolean") if len(out) else pd.array([], dtype="boolean")
         yield out
 
     def close(self) -> None:
         pass
-
-
-class MerchantScore(StatefulProcessor):
-    """Adds how unusual the amount is for the merchant, from running moments before the event."""
-
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", "n long, mean double, m2 double", self.ttl)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.moments.update((int(row["n"]), float(row["mean"]), float(row["m2"])))
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _arrivals(rows)
-        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
-        on_time = ~batch["is_late"].to_numpy(dtype=bool)
-        amounts = batch["amount"].to_numpy(dtype=float)[on_time]
-        if n == 0 and len(amounts):
-            mean = float(amounts[0])
-        # Sums of deviations from the mean so far, before each row.
-        off = amounts - mean
-        counts = n + np.arange(len(off))
-        sums, squares = np.cumsum(off) - off, np.cumsum(off * off) - off * off
-        with np.errstate(divide="ignore", invalid="ignore"):
-            means = mean + sums / counts
-            spread = m2 + squares - sums * sums / counts
-            # Equal amounts leave a rounding residue instead of zero.
-            usable = (counts >= MIN_MERCHANT_ROWS) & (spread > 1e-12 * (m2 + squares))
-            z = np.where(usable, (amounts - means) / np.sqrt(spread / (counts - 1)), 0.0)
-        if len(off):
-            total, square, count = float(off.sum()), float((off * off).sum()), n + len(off)
-            self.moments.update((int(count), mean + total / count, max(0.0, m2 + square - total * total / count)))
-        scores = np.full(len(batch), np.nan)
-        scores[on_time] = z
-        batch["merchant_amount_zscore"] = pd.array(scores, dtype="Float64")
-        yield batch
-
-    def close(self) -> None:
-        pass
