@@ -12,7 +12,7 @@ from tillwork.streaming import feature_sink as sinks
 from tillwork.streaming import feature_stream as job
 
 DRAIN_SECONDS = 1800
-BATCHES, FILES = 6, 4       # micro-batches of a replay, and files of each
+BATCHES, FILES = 5, 4       # micro-batches of a replay, and files of each
 
 
 def messages(spark, sf_dir) -> DataFrame:
@@ -38,14 +38,20 @@ def messages(spark, sf_dir) -> DataFrame:
     return sent.select(message.alias("value"), (F.col("user_id") % 3).cast("int").alias("part"), F.col("c.offset").alias("offset"))
 
 
-def stream_of(sent: DataFrame) -> DataFrame:
-    """Messages as a stream of BATCHES micro-batches in order of their offsets."""
-    spark, folder = sent.sparkSession, scratch_path(sent.sparkSession, "messages")
+def publish(sent: DataFrame, folder: str, batches=range(BATCHES)) -> None:
+    """Add some of BATCHES slices of the messages, in order of their offsets, to a folder."""
     low, high = sent.agg(F.min("offset"), F.max("offset")).first()
     place = F.floor((F.col("offset") - (low or 0)) * BATCHES / ((high or 0) - (low or 0) + 1))
-    for k in range(BATCHES):
+    for k in batches:
         sent.where(place == k).repartition(FILES).write.mode("append").parquet(folder)
-    return source.event_stream(spark, "parquet", {"path": folder, "maxFilesPerTrigger": str(FILES)}, sent.schema)
+
+
+def stream_of(sent: DataFrame, folder: str | None = None) -> DataFrame:
+    """Messages as a stream of one micro-batch a slice; those of `folder`, if given, else all."""
+    if folder is None:
+        folder = scratch_path(sent.sparkSession, "messages")
+        publish(sent, folder)
+    return source.event_stream(sent.sparkSession, "parquet", {"path": folder, "maxFilesPerTrigger": str(FILES)}, sent.schema)
 
 
 def replay(spark, sf_dir) -> DataFrame:
@@ -60,11 +66,12 @@ def feature_job(spark, sf_dir) -> str:
     queries below look at different outputs of one run, so a session runs it once for a table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _jobs:
-        path = scratch_path(spark, "feature-job")
-        valid, _invalid = source.parse_events(replay(spark, sf_dir))
-        sink = sinks.FeatureSink(path, also=[job.serve_latest(f"{path}/online")])
-        # Stopped after the first batch's commit and started again: the second run goes on from the checkpoint.
-        for _ in range(2):
+        path, sent = scratch_path(spark, "feature-job"), messages(spark, sf_dir)
+        # Stopped half-way and started anew: the second run goes on from the checkpoint and the carried moments.
+        for part in (range(BATCHES // 2), range(BATCHES // 2, BATCHES)):
+            publish(sent, f"{path}/messages", part)
+            valid, _invalid = source.parse_events(stream_of(sent, f"{path}/messages"))
+            sink = sinks.FeatureSink(path, also=[job.serve_latest(f"{path}/online")])
             running = job.write_features(job.feature_stream(valid), sink, f"{path}/checkpoint", available_now=True)
             if not running.awaitTermination(DRAIN_SECONDS):
                 running.stop()

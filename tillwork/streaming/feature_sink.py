@@ -38,14 +38,17 @@ def merchant_scores(rows: DataFrame, moments: DataFrame) -> tuple[DataFrame, Dat
     """
     on_time = rows.where(~F.col("is_late"))
     before = moments.select(F.col("merchant_id").alias("_m"), F.col("n").alias("_n0"), F.col("mean").alias("_mean"), F.col("m2").alias("_m2"))
-    first = on_time.groupBy(F.col("merchant_id").alias("_b")).agg(F.min_by("amount", F.struct("offset", "part")).alias("_first"))
+    first = on_time.groupBy(F.col("merchant_id").alias("_b")).agg(
+        F.min_by("amount", F.struct("offset", "part")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     started = (first.join(before, F.col("_b") == F.col("_m"), "left")
-               .select("_b", F.coalesce("_n0", F.lit(0)).alias("_n0"), F.coalesce("_mean", "_first").alias("_ref"), F.coalesce("_m2", F.lit(0.0)).alias("_m2")))
+               .select("_b", "_rows", F.coalesce("_n0", F.lit(0)).alias("_n0"), F.coalesce("_mean", "_first").alias("_ref"), F.coalesce("_m2", F.lit(0.0)).alias("_m2")))
     started = materialize(started, "merchants")
-    held = on_time.join(small(started), F.col("merchant_id") == F.col("_b")).withColumn("_off", F.col("amount") - F.col("_ref"))
+    largest = started.agg(F.max("_rows")).first()[0] or 0
+    started = small(started.drop("_rows"))
+    held = on_time.join(started, F.col("merchant_id") == F.col("_b")).withColumn("_off", F.col("amount") - F.col("_ref"))
     run = scan(held, ["merchant_id"], ["offset", "part"], [
         Running("_k", "count", F.col("_off"), current=False), Running("_s", "sum", F.col("_off"), current=False),
-        Running("_q", "sum", F.col("_off") * F.col("_off"), current=False)])
+        Running("_q", "sum", F.col("_off") * F.col("_off"), current=False)], largest=largest)
     n, s, square = F.col("_n0") + F.col("_k"), F.coalesce("_s", F.lit(0.0)), F.col("_m2") + F.coalesce("_q", F.lit(0.0))
     spread = square - s * s / F.greatest(n, F.lit(1))
     # Equal amounts leave a rounding residue instead of zero.
@@ -58,7 +61,7 @@ def merchant_scores(rows: DataFrame, moments: DataFrame) -> tuple[DataFrame, Dat
     count = F.col("_n0") + F.col("k")
     after = sums.select("merchant_id", count.alias("n"), (F.col("_ref") + F.col("s") / count).alias("mean"),
                         F.greatest(F.lit(0.0), F.col("_m2") + F.col("q") - F.col("s") * F.col("s") / count).alias("m2"))
-    untouched = moments.join(small(started.select("_b")), F.col("merchant_id") == F.col("_b"), "left_anti")
+    untouched = moments.join(started.select("_b"), F.col("merchant_id") == F.col("_b"), "left_anti")
     return scored, after.unionByName(untouched.select("merchant_id", "n", "mean", "m2"))
 
 

@@ -29,7 +29,7 @@ class LateTagger(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _arrivals(rows)
-        seen = self.newest.get()[0] if self.newest.exists() else 0
+        seen = (self.newest.get() or (0,))[0]
         running = batch["micros"].cummax().clip(lower=seen)
         batch["is_late"] = batch["micros"] < running.shift(1, fill_value=seen) - self.lateness
         self.newest.update((int(running.iloc[-1]),))
@@ -70,9 +70,9 @@ class CardFeatures(StatefulProcessor):
     """Drops repeats of a transaction and adds the card's window features. Late rows pass through
     untouched, without features, and leave the state alone.
 
-    Each transaction id is an entry of its own in a map, so a batch reads and writes its own ids only. An
-    id blocks repeats up to `dedupe` after its time. With a time to live Spark drops each id that long after
-    it came; otherwise ids go when the card's newest time has passed them, found by the hour they are filed under.
+    Transaction ids are filed by the hour of their time, each with its time: a batch adds to the hours of
+    its own rows, leaves the other hours as they are, and drops an hour as a whole once the card's newest
+    time has passed all of its ids. An id blocks repeats up to `dedupe` after its own time, to the microsecond.
     """
 
     def __init__(self, dedupe_seconds: int, ttl_ms: int | None = None):
@@ -80,8 +80,7 @@ class CardFeatures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("card", "last long, countries array<string>, at array<long>, amount array<long>", self.ttl)
-        self.seen = handle.getMapState("seen", "id string", "at long", None if self.ttl is None else self.dedupe // 1000)
-        self.filed = handle.getMapState("filed", "hour long", "ids array<string>", self.ttl)
+        self.seen = handle.getMapState("seen", "hour long", "ids array<string>, at array<long>", self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Start from history: last time, known countries, and the last hour's transactions."""
@@ -89,49 +88,47 @@ class CardFeatures(StatefulProcessor):
         ordered = sorted(zip(row["recent_at"], row["recent_amount"], row["recent_id"]))
         last = int(row["last_micros"])
         self.state.update((last, list(row["ip_countries"]), [int(a) for a, _, _ in ordered], [round(v * MICROS) for _, v, _ in ordered]))
-        self._file({i: int(a) for a, _, i in ordered}, last)
+        self._file({i: int(a) for a, _, i in ordered}, {}, last)
 
-    def _file(self, ids: dict[str, int], last: int) -> None:
-        """Remember ids, and forget those of hours that have passed."""
-        hours: dict[int, list[str]] = {}
+    def _file(self, ids: dict[str, int], hours: dict[int, tuple], last: int) -> None:
+        """Add ids to the hours they belong to, and drop hours that have passed."""
+        added: dict[int, tuple[list[str], list[int]]] = {}
         for txn, at in ids.items():
-            self.seen.updateValue((txn,), (at,))
-            hours.setdefault(at // SUM_WINDOW, []).append(txn)
-        if self.ttl is not None:
-            return
-        for hour, own in hours.items():
-            before = list(self.filed.getValue((hour,))[0]) if self.filed.containsKey((hour,)) else []
-            self.filed.updateValue((hour,), (before + own,))
-        for (hour,) in [tuple(k) for k in self.filed.keys()]:
+            own = added.setdefault(at // SUM_WINDOW, ([], []))
+            own[0].append(txn)
+            own[1].append(at)
+        for hour, (txns, times) in added.items():
+            before = hours.get(hour, ((), ()))
+            self.seen.updateValue((hour,), (list(before[0]) + txns, list(before[1]) + times))
+        for hour in hours:
             if (hour + 1) * SUM_WINDOW <= last - self.dedupe:
-                for txn in self.filed.getValue((hour,))[0]:
-                    # An id that came again is filed under its newer hour as well.
-                    if self.seen.containsKey((txn,)) and self.seen.getValue((txn,))[0] // SUM_WINDOW <= hour:
-                        self.seen.removeKey((txn,))
-                self.filed.removeKey((hour,))
+                self.seen.removeKey((hour,))
 
-    def _first(self, ids: list[str], ts: list[int], on_time: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
+    def _first(self, ids: list[str], ts: list[int], on_time: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, dict[str, int]]:
         """Which rows are no repeats, and the ids they leave behind."""
-        keep, left, known = np.ones(len(ids), bool), {}, {}
+        keep, left = np.ones(len(ids), bool), {}
         for i in np.flatnonzero(on_time).tolist():
-            txn = ids[i]
-            if txn not in known:
-                known[txn] = self.seen.getValue((txn,))[0] if self.seen.containsKey((txn,)) else None
-            if known[txn] is not None and ts[i] <= known[txn] + self.dedupe:
+            at = known.get(ids[i])
+            if at is not None and ts[i] <= at + self.dedupe:
                 keep[i] = False
             else:
-                known[txn] = left[txn] = ts[i]
+                known[ids[i]] = left[ids[i]] = ts[i]
         return keep, left
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _arrivals(rows)
         on_time = ~batch["is_late"].to_numpy(dtype=bool)
-        keep, left = self._first(batch["transaction_id"].tolist(), batch["micros"].tolist(), on_time)
+        hours = {hour: held for (hour,), held in self.seen.iterator()} if on_time.any() else {}
+        known: dict[str, int] = {}
+        for ids, times in hours.values():
+            for txn, at in zip(ids, times):
+                known[txn] = max(at, known.get(txn, at))
+        keep, left = self._first(batch["transaction_id"].tolist(), batch["micros"].tolist(), on_time, known)
         out = batch[keep].reset_index(drop=True)
         fresh = np.flatnonzero(on_time[keep])
         counts, sums, gaps, news = (np.full(len(out), np.nan) for _ in range(4))
         if len(fresh):
-            last, countries, at, held = self.state.get() if self.state.exists() else (None, [], [], [])
+            last, countries, at, held = self.state.get() or (None, [], [], [])
             ts = out["micros"].to_numpy(np.int64)[fresh]
             amounts = np.rint(out["amount"].to_numpy(float)[fresh] * MICROS).astype(np.int64)
             by_time = np.argsort(np.array(at, np.int64), kind="stable")
@@ -145,7 +142,7 @@ class CardFeatures(StatefulProcessor):
             earlier = np.cumsum(known) - known + len(countries) > 0
             news[fresh] = known & earlier & ~named.duplicated().to_numpy() & ~named.isin(list(countries)).to_numpy()
             self.state.update((int(newest[-1]), sorted({*countries, *named[known]}), at.tolist(), held.tolist()))
-            self._file(left, int(newest[-1]))
+            self._file(left, hours, int(newest[-1]))
         out["card_txn_count_5m"] = pd.array(pd.Series(counts), dtype="Int64")
         out["card_amount_sum_1h"] = pd.array(sums, dtype="Float64")
         out["seconds_since_last_card_txn"] = pd.array(gaps, dtype="Float64")
