@@ -153,3 +153,20 @@ def test_features_agree_with_history_after_incremental_reads(spark):
     df = spark.createDataFrame([(1, " A@B.com ")], "id int, mail string")
     assert df.select(scalars.mask_email("mail")).first()[0] == df.select(F.md5(F.lit("a@b.com"))).first()[0]
     assert len(df.select(scalars.mask_email("mail", "key")).first()[0]) == 64
+
+
+def test_zscore_of_amounts_of_any_size(spark, split):
+    """Sums of squares of forty digits and more, and nearly equal large amounts."""
+    import statistics
+    from decimal import Decimal
+
+    near = [Decimal("2000000000.00") + Decimal(i % 3) / 100 for i in range(80)]
+    huge = [Decimal("9999999999999999.99") - (i % 5) * Decimal("1234567890123456.78") for i in range(80)]
+    rows = [(m, i, f"{i:03d}", a) for m, amounts in (("near", near), ("huge", huge)) for i, a in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "merchant_id string, _at long, transaction_id string, amount decimal(18,2)")
+    got = {(r["merchant_id"], r["_at"]): r["merchant_amount_zscore"] for r in features.merchant_zscore(df).collect()}
+    for m, amounts in (("near", near), ("huge", huge)):
+        for i in range(30, 80):
+            before = amounts[:i]
+            want = float((amounts[i] - statistics.mean(before)) / statistics.stdev(before))
+            assert got[m, i] == pytest.approx(want, rel=1e-9, abs=1e-9)

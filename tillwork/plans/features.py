@@ -70,20 +70,28 @@ def merchant_zscore(df: DataFrame, largest: int | None = None) -> DataFrame:
     """How unusual the amount is among the merchant's earlier ones; 0 before 30 of them or when
     they are all equal.
 
-    Sums are exact decimals, and so are the differences taken of them: n * q - s * s, which is the
-    variance times n * (n - 1), and n * amount - s. Only those become doubles, so nearly equal large
-    amounts lose nothing, and the result does not depend on how a busy merchant was split.
+    Sums are exact decimals in hundredths, whatever the order of rows or the split of a busy merchant, and
+    so are the differences taken of them: n * q - s * s, which is the variance times n * (n - 1), and
+    n * amount - s. Only those become doubles, so nearly equal large amounts lose nothing. Squares are
+    carried as billions and the rest, so their sum holds any amounts; where n * q has over 38 digits, the
+    variance is taken of doubles.
     """
-    amount = F.col("amount")
+    whole, billion = "decimal(38,0)", F.lit(10 ** 9).cast("decimal(10,0)")
+    cents = (F.col("amount").cast("decimal(18,2)") * 100).cast("decimal(18,0)")
+    square = (cents * cents).cast("decimal(36,0)")
     prior = scan(df, ["merchant_id"], [_AT, "transaction_id"], [
-        Running("_n", "count", amount, current=False), Running("_s", "sum", amount, current=False),
-        Running("_q", "sum", (amount * amount).cast("decimal(36,4)"), current=False)], largest=largest)
-    n, s, q = F.col("_n").cast("decimal(12,0)"), F.col("_s").cast("decimal(19,2)"), F.col("_q").cast("decimal(25,4)")
-    spread = (n * q).cast("decimal(38,4)") - (s * s).cast("decimal(38,4)")
-    off = ((n * amount.cast("decimal(18,2)")).cast("decimal(38,2)") - s).cast("double") / F.col("_n")
-    z = off / F.sqrt(spread.cast("double") / (F.col("_n") * (F.col("_n") - 1)))
+        Running("_n", "count", F.col("amount"), current=False), Running("_s", "sum", cents, current=False),
+        Running("_q", "sum", F.floor(square / billion).cast("decimal(27,0)"), current=False),
+        Running("_rest", "sum", (square % billion).cast("decimal(10,0)"), current=False)], largest=largest)
+    n, s = F.col("_n").cast("decimal(19,0)"), F.col("_s").cast(whole)
+    q = F.try_add(F.try_multiply(F.col("_q").cast(whole), billion), F.col("_rest").cast(whole))
+    exact = F.try_subtract(F.try_multiply(n, q), F.try_multiply(s, s)).cast("double")
+    rough = F.col("_n") * (F.col("_q").cast("double") * 1e9 + F.col("_rest").cast("double")) - F.col("_s").cast("double") * F.col("_s").cast("double")
+    spread = F.coalesce(exact, rough)
+    off = ((n * cents).cast(whole) - s).cast("double") / F.col("_n")
+    z = off / F.sqrt(spread / (F.col("_n") * (F.col("_n") - 1)))
     usable = (F.col("_n") >= MIN_MERCHANT_ROWS) & (spread > 0)
-    return prior.withColumn("merchant_amount_zscore", F.when(usable, z).otherwise(0.0)).drop("_n", "_s", "_q")
+    return prior.withColumn("merchant_amount_zscore", F.when(usable, z).otherwise(0.0)).drop("_n", "_s", "_q", "_rest")
 
 
 def windowed_features(df: DataFrame) -> DataFrame:

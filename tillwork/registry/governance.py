@@ -71,9 +71,9 @@ def scan_sql(column: str) -> str:
       from documents) group by 1, 2"""
 
 
-@query("pii_scan", scan_sql("text") + " union all " + scan_sql("source"))
+@query("pii_scan", " union all ".join(scan_sql(c) for c in ("text", "lang", "source")))
 def _(spark, sf_dir):
-    return redaction.pii_scan(mapping.table(spark, sf_dir, "documents"), ["text", "source"])
+    return redaction.pii_scan(mapping.table(spark, sf_dir, "documents"))
 
 
 @query("pii_email_scan", r"""
