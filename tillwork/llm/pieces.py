@@ -30,7 +30,7 @@ from tillwork.llm.common import send_by_value
 
 MARK = "▁"             # stands for a space
 UNKNOWN_PENALTY = 10.0      # a character outside the vocabulary scores this much below the worst piece
-SLICE_CHARS = 1 << 19       # texts that are handled at once; a longer text is handled alone
+SLICE_CHARS = 1 << 17       # texts that are handled at once; a longer text is handled alone
 SHORT = 64                  # longer words are solved one by one
 
 
@@ -425,10 +425,12 @@ def _decode_rows(path: str, names: list[str]):
     def run(batches):
         v = Vocabulary.load(path)
         for batch in batches:
-            raws = batch.column(batch.schema.get_field_index("_pieces")).to_pylist()
-            texts = [decode_ids(v, np.frombuffer(raw or b"", "<i4").tolist()) for raw in raws]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string())],
-                                             [*names, "_text"])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                raws = part.column(part.schema.get_field_index("_pieces")).to_pylist()
+                texts = [decode_ids(v, np.frombuffer(raw or b"", "<i4").tolist()) for raw in raws]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string())],
+                                                 [*names, "_text"])
     return run
 
 
