@@ -2,10 +2,15 @@
 
 import random
 import re
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tillwork.llm import jaccard_join
+from tillwork.llm.common import column_bytes
 from tillwork.llm.jaccard_join import jaccard_components, keep_one_of_each, overlap, subset_sizes
 
 
@@ -88,6 +93,33 @@ def test_edges(spark):
         (1, 59_997, 1), (2, 59_998, 1), (3, 1, 3)]
 
 
+def test_many_buckets_give_the_same(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 90)
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == brute(rows)
+
+
+def test_sketch_never_exceeds_the_difference_and_spares_whole_sets(spark):
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 400, 20_000):
+        common, a, b = (rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (size, size // 3, size // 5))
+        x, y = (np.frombuffer(jaccard_join._sketch(np.concatenate([common, own])), np.uint64) for own in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b)
+    # Documents of three out of eight passages: every passage is shared, no two selections link.
+    words = [[f"p{i}w{j}" for j in range(60)] for i in range(8)]
+    texts = [" ".join(sum((words[i] for i in pick), [])) for pick in combinations(range(8), 3)]
+    held = spark.createDataFrame([(t,) for t in texts + [texts[0] + " end"]], "text string")
+    docs = held.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    numbered = [tuple(r) for r in docs.collect()]
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == brute(numbered)
+    sets = [jaccard_join.shingle_sets(*column_bytes(pa.array([t])), 4)[0] for t in texts]
+    table = spark.createDataFrame([(bytes([i]), len(s), s.tobytes(), len(s), jaccard_join._sketch(s)) for i, s in enumerate(sets)],
+                                  "class binary, size long, tokens binary, held long, sketch binary")
+    pairs = spark.createDataFrame([(bytes([i]), bytes([j])) for i in range(56) for j in range(i)], "a binary, b binary")
+    assert jaccard_join._not_too_different(pairs, table, 85, 100).count() < 10
+
+
 def test_overlaps():
     for s in range(1, 60):
         for t in range(s, 60):

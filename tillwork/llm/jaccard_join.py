@@ -9,13 +9,16 @@ is verified on the whole sets.
 How it stays linear on busy data:
 
 * Equal sets are one class, represented once, so copies cost nothing further.
-* Elements are dealt to buckets as packed arrays and counted there. An element of one class only can
+* Elements are dealt to buckets as packed arrays and counted there; the number of buckets grows with
+  the number of elements, and each bucket is a task of its own. An element of one class only can
   never be shared, so only the others travel back, and a class whose shared elements are too few to
   reach theta * size is out. Lists are over the rarest elements of the rest, so a passage that very
   many documents share is hardly ever listed.
 * Within a list each member is first held against one pivot, not against each other member. After
   the links so found are merged into components, only members of a list that are still apart are
   compared, and that is done for all of them: no list is cut, so no component is lost.
+* A candidate is first held against a parity sketch of both sets, of fixed size, which never rejects a
+  pair that links; only pairs it leaves are joined to their whole sets.
 """
 
 from __future__ import annotations
@@ -43,7 +46,14 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_ONE = np.dtype("V16")
+# Elements aimed at for a bucket, and the most buckets the 16 bits of a hash can tell apart.
+BUCKET_TOKENS = 4_000_000
+MOST_BUCKETS = 1 << 16
+# A bucket is counted in 2**RANGE_BITS ranges of its elements, one after the other.
+RANGE_BITS = 3
+SKETCH_BITS = 1024
+_ID_BYTES = 12
+_ONE = np.dtype(f"V{_ID_BYTES}")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -69,7 +79,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
 
 
 def _set_id(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(grams.tobytes(), digest_size=_ID_BYTES).digest()
 
 
 def _class_rows(k):
@@ -95,6 +105,16 @@ def _unpack(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view(np.uint64)
 
 
+def _parts(names: np.ndarray) -> np.ndarray:
+    return names.view(np.uint32).reshape(-1, _ID_BYTES // 4)
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS remainders whether an odd number of elements has it. Two sketches differ
+    in at most as many bits as there are elements in one set only."""
+    return np.packbits((np.bincount((mix(tokens) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _bucket_rows(k, buckets):
     """Packed (classes, sizes, counts, elements) per bucket and run of texts. A class is sent once
     per task at most."""
@@ -142,20 +162,29 @@ def _shared_rows(buckets):
         names = np.frombuffer(b"".join(frame["classes"]), _ONE)
         sizes = np.frombuffer(b"".join(frame["sizes"]), np.uint32)
         counts = np.frombuffer(b"".join(frame["counts"]), np.uint32)
-        tokens = _unpack(b"".join(frame["tokens"])) * np.uint64(buckets) + np.uint64(key[0])
-        _, keep = np.unique(names.view(np.uint64).reshape(-1, 2), axis=0, return_index=True)
+        tokens = np.empty(int(counts.sum(dtype=np.int64)), np.uint64)
+        at = 0
+        for raw in frame["tokens"]:
+            tokens[at:at + len(raw) // 6] = _unpack(raw)
+            at += len(raw) // 6
+        _, keep = np.unique(_parts(names), axis=0, return_index=True)
         first = np.zeros(len(names), bool)
         first[keep] = True
-        owner = np.repeat(np.arange(len(names)), counts)
+        owner = np.repeat(np.arange(len(names), dtype=np.uint32), counts)
         once = first[owner]
-        owner, tokens = owner[once], tokens[once]
-        order = np.argsort(tokens, kind="stable")
-        owner, tokens = owner[order], tokens[order]
-        edge = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True]) if len(tokens) else np.zeros(1, np.int64)
-        df = np.repeat(np.diff(edge), np.diff(edge))
-        shared = df > 1
-        owner, tokens, df = owner[shared], tokens[shared], df[shared].astype(np.uint32)
-        target = (names.view(np.uint64).reshape(-1, 2)[owner, 0] % np.uint64(buckets)).astype(np.int64)
+        owners, found, dfs = [], [], []
+        for r in range(1 << RANGE_BITS):
+            mine = np.flatnonzero((tokens >> np.uint64(48 - RANGE_BITS) == np.uint64(r)) & once)
+            order = mine[np.argsort(tokens[mine], kind="stable")]
+            values = tokens[order]
+            edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
+            df = np.repeat(np.diff(edge), np.diff(edge))
+            owners.append(owner[order[df > 1]].astype(np.int64))
+            found.append(values[df > 1] * np.uint64(buckets) + np.uint64(key[0]))
+            dfs.append(df[df > 1].astype(np.uint32))
+        del tokens, once
+        owner, tokens, df = np.concatenate(owners), np.concatenate(found), np.concatenate(dfs)
+        target = (_parts(names)[owner, 0] % np.uint32(buckets)).astype(np.int64)
         order = np.lexsort((owner, target))
         owner, tokens, df, target = owner[order], tokens[order], df[order], target[order]
         start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
@@ -193,7 +222,7 @@ def _survivor_rows(num, den):
         counts = np.frombuffer(b"".join(frame["counts"]), np.uint32).astype(np.int64)
         tokens = np.frombuffer(b"".join(frame["tokens"]), np.uint64)
         df = np.frombuffer(b"".join(frame["dfs"]), np.uint32)
-        _, first, index = np.unique(names.view(np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)
+        _, first, index = np.unique(_parts(names), axis=0, return_index=True, return_inverse=True)
         index = index.reshape(-1)
         total = np.bincount(index, weights=counts).astype(np.int64)
         stays = total >= -(-num * sizes[first] // den)
@@ -209,8 +238,9 @@ def _survivor_rows(num, den):
             order = np.argsort(mine)
             mine, often = mine[order], often[order]
             rare = np.lexsort((mine, often))[:len(mine) - need(size, num, den) + 1]
-            rows.append((names[first[c]].tobytes(), size, mine.tobytes(), mine[rare].tobytes(), float(often[rare].astype(np.float64).sum())))
-        return pd.DataFrame(rows, columns=["class", "size", "tokens", "rare", "scan_cost"])
+            rows.append((names[first[c]].tobytes(), size, mine.tobytes(), mine[rare].tobytes(),
+                         float(often[rare].astype(np.float64).sum()), len(mine), _sketch(mine)))
+        return pd.DataFrame(rows, columns=["class", "size", "tokens", "rare", "scan_cost", "held", "sketch"])
     return run
 
 
@@ -265,6 +295,24 @@ def _possible(s, t, rest_s, rest_t, num, den):
     return (F.least(s, t) * F.lit(den) >= F.greatest(s, t) * F.lit(num)) & (F.least(rest_s, rest_t) * F.lit(num + den) >= (s + t) * F.lit(num))
 
 
+def _not_too_different(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule the similarity out."""
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        both = [np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (x, y)]
+        return pd.Series(np.bitwise_count(both[0] ^ both[1]).sum(axis=1).astype(np.int32))
+
+    sets = survivors.select("class", "size", "held", "sketch")
+    left = sets.toDF("a", "s", "m", "x")
+    right = sets.toDF("b", "t", "n", "y")
+    # Elements in one set only: at most what both hold, less twice the least overlap.
+    most = (F.col("m") + F.col("n")) * F.lit(num + den) - F.lit(2 * num) * (F.col("s") + F.col("t"))
+    return (pairs.select("a", "b").join(left, "a").join(right, "b")
+            .where(apart("x", "y") * F.lit(num + den) <= most).select("a", "b"))
+
+
 def _verify(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     @F.pandas_udf("boolean")
@@ -278,19 +326,24 @@ def _verify(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataF
     sets = survivors.select("class", "tokens", "size")
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"), F.col("size").alias("s"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"), F.col("size").alias("t"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(reached("x", "y", "s", "t")).select("a", "b")
+    pairs = _not_too_different(pairs, survivors, num, den)
+    return pairs.join(left, "a").join(right, "b").where(reached("x", "y", "s", "t")).select("a", "b")
 
 
-def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(node, root): components of linked sets; sets without links have no row."""
+def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, elements: int) -> DataFrame:
+    """(node, root): components of linked sets; sets without links have no row. `elements`: of all
+    distinct sets together, from which the number of buckets follows."""
     spark = docs.sparkSession
-    # Half as many buckets as shuffle partitions: a bucket repeats the name of each class that has an
-    # element in it, so fewer and larger buckets move less.
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 1), 65536)
+    # A bucket repeats the name of each class that has an element in it, so no more buckets are taken
+    # than bound a task's memory and keep the cluster busy.
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 1)
+    buckets = min(max(-(-elements // BUCKET_TOKENS), least), MOST_BUCKETS)
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_bucket_rows(k, buckets), _PACKED)
-    shared = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets), _PACKED + ", dfs binary")
+    # Each bucket is its own partition; a hash of so few numbers would put several into one task.
+    shared = packed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_shared_rows(buckets), _PACKED + ", dfs binary")
     survivors = materialize(
-        shared.groupBy("bucket").applyInPandas(_survivor_rows(num, den), "class binary, size long, tokens binary, rare binary, scan_cost double"), "sets")
+        shared.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(
+            _survivor_rows(num, den), "class binary, size long, tokens binary, rare binary, scan_cost double, held long, sketch binary"), "sets")
 
     boundary = _boundary(survivors, num, den)
     index = materialize(survivors.select("class", "size", "tokens", "rare").mapInPandas(
@@ -330,7 +383,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than ASCII white space after A-Z is lower-cased. Null and empty
     texts have the empty set and are linked with nothing, not even with each other. Sets are compared
     through 64-bit hashes of their elements (of which the join keeps 48 bits and the bucket), equal sets
-    through a 128-bit digest. A null id is ignored as a component's name unless all ids of the
+    through a 96-bit digest. A null id is ignored as a component's name unless all ids of the
     component are null; rows that repeat an id are separate rows. Other columns are not read; an empty
     table gives no rows.
     """
@@ -338,7 +391,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = held.schema["id"].dataType.simpleString()
     rows = materialize(held.mapInArrow(_class_rows(k), f"id {kind}, set_id binary, n_shingles long"), "set-ids")
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    found = linked_classes(held, "text", k, percent, 100)
+    elements = rows.groupBy("set_id").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
+    found = linked_classes(held, "text", k, percent, 100, elements)
 
     linked = classes.join(found, classes["set_id"] == found["node"])
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
