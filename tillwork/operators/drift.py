@@ -69,12 +69,31 @@ def psi(reference: DataFrame, live: DataFrame, features: Sequence[str] = DRIFT_F
             .agg(stability_index(F.col("actual"), F.col("expected")).alias("psi")))
 
 
+def drift_report(reference: DataFrame, live: DataFrame, since, features: Sequence[str] = DRIFT_FEATURES) -> DataFrame:
+    """Stability of the features streamed from `since` on against the mature, approved training rows, as
+    (feature, live_rows, psi): one row for every feature, its psi null while fewer than MIN_ROWS on-time
+    rows, or no training rows, are there. Late rows carry no features and are left out."""
+    recent = on_time(live, since)
+    found = psi(reference.where(F.col("label_mature") & F.col("is_approved")), recent, features)
+    names = live.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(found, "feature", "left").select("feature", F.lit(recent.count()).alias("live_rows"), "psi")
+
+
+def drift_samples(report: DataFrame, at) -> DataFrame:
+    """The report as metric samples for the alert rules; features without an index give none."""
+    return report.where(F.col("psi").isNotNull()).select(
+        F.lit(at).alias("at"), F.lit("feature_psi").alias("metric"), F.col("feature").alias("label"), F.col("psi").alias("value"))
+
+
+def on_time(online: DataFrame, since=None) -> DataFrame:
+    """On-time streamed rows, with `since` those processed from then on."""
+    kept = online.where(~F.col("is_late"))
+    return kept if since is None else kept.where(F.col("processed_at") >= since)
+
+
 def first_processed(online: DataFrame, since=None) -> DataFrame:
     """On-time streamed rows, one per transaction: the first one processed."""
-    kept = online.where(~F.col("is_late"))
-    if since is not None:
-        kept = kept.where(F.col("processed_at") >= since)
-    return latest_by(kept, ["transaction_id"], [F.col("processed_at").asc()])
+    return latest_by(on_time(online, since), ["transaction_id"], [F.col("processed_at").asc()])
 
 
 def skew_report(online: DataFrame, offline: DataFrame, since=None,

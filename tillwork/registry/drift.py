@@ -11,8 +11,13 @@ from tillwork.session import materialize
 
 COMPARED = ("amount", "card_amount_sum_1h", "seconds_since_last_card_txn", "merchant_amount_zscore")
 
-D_LONG = E_FEATURES + """,
-split as (select *, label_mature as reference from e_features),
+
+def long_sql(split: str) -> str:
+    return E_FEATURES + f""",
+split as ({split}),""" + _LONG
+
+
+_LONG = """
 long as (
   select reference, 'amount' as feature, cast(amount as double) as v from split
   union all select reference, 'card_txn_count_5m', cast(card_txn_count_5m as double) from split
@@ -29,6 +34,9 @@ shares as (
   from spine s cross join (values (true), (false)) r(reference)
   left join (select feature, reference, len(list_filter(edges, lambda e: e < v)) as bucket, count(*) as n
              from long join edges using (feature) group by all) c using (feature, bucket, reference))"""
+D_LONG = long_sql("select *, label_mature as reference from e_features")
+R_LONG = long_sql("""select *, true as reference from e_features where label_mature and transaction_id % 4 <> 0
+    union all select *, false from e_features where transaction_id % 10 <> 0 and created_at >= timestamp '2024-01-20'""")
 
 
 def _halves(spark, sf_dir):
@@ -63,6 +71,20 @@ def _(spark, sf_dir):
     return drift.psi(*_halves(spark, sf_dir))
 
 
+@query("drift_report", f"""with {R_LONG}
+    select feature, (select count(*) from split where not reference) as live_rows, psi from (
+      select a.feature, round(sum((a.share - e.share) * ln((a.share + 1e-4) / (e.share + 1e-4))), 4) as psi
+      from shares a join shares e on a.feature = e.feature and a.bucket = e.bucket
+      where not a.reference and e.reference group by 1)""")
+def _(spark, sf_dir):
+    """One in four rows was not approved, one in ten of the streamed rows came late."""
+    i = F.col("transaction_id")
+    rows = materialize(event_features(spark, sf_dir).withColumns({
+        "merchant_amount_zscore": F.round("merchant_amount_zscore", 6), "is_approved": i % 4 != 0,
+        "is_late": i % 10 == 0, "processed_at": F.col("created_at")}), "features")
+    return drift.drift_report(rows, rows, F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
+
+
 S_SKEW = E_FEATURES + """,
 offline as (select * replace (round(merchant_amount_zscore, 6) as merchant_amount_zscore) from e_features),
 online as (select * replace (

@@ -160,7 +160,7 @@ def _(spark, sf_dir):
     return marts.dim_merchants(merchants(spark, sf_dir))
 
 
-@query("merchant_daily_volume", f"""
+DAILY_SQL = f"""
     with {P_FCT}, {P_DIM},
     -- One row per day, merchant, approval and presence first; the measures are sums and ratios of those.
     parts as (
@@ -176,7 +176,10 @@ def _(spark, sf_dir):
            round((n - coalesce(good, 0))::double / n::double, 4) as decline_rate, coalesce(cad, 0)::decimal(38,2) as approved_volume_cad,
            back::decimal(38,2) as refunded_volume_cad, disputes::bigint as chargeback_count, frauds::bigint as fraud_chargeback_count,
            round(coalesce(remote, 0)::double / n::double, 4) as card_not_present_share
-    from days join p_dim using (merchant_id)""")
+    from days join p_dim using (merchant_id)"""
+
+
+@query("merchant_daily_volume", DAILY_SQL)
 def merchant_daily_volume(spark, sf_dir):
     return marts.merchant_daily_volume(fct(spark, sf_dir), marts.dim_merchants(merchants(spark, sf_dir)))
 
