@@ -276,3 +276,57 @@ def test_the_listener_writes_lag_that_the_alert_rule_reads(spark, tmp_path):
     listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(timestamp="x", sources=[SimpleNamespace(description="f", endOffset="3", latestOffset=None)])))
     rows = spark.read.parquet(str(tmp_path / "lag")).collect()
     assert {(r["metric"], r["labels"]["partition"], r["value"]) for r in rows} == {("stream_consumer_lag", "0", 85.0), ("stream_consumer_lag", "1", 4.0)}
+
+
+class HeldMap:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.entries = {}
+
+    def getValue(self, key):
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+
+class HeldStates:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, HeldMap())
+
+
+def test_one_bucket_handles_many_cards_and_files_many_ids(monkeypatch):
+    import pandas as pd
+
+    from tillwork.streaming import processors
+
+    monkeypatch.setattr(processors, "INLINE_IDS", 3)
+    step, states = processors.CardFeatures(7200), HeldStates()
+    step.init(states)
+
+    def batch(rows):
+        frame = pd.DataFrame(rows, columns=["offset", "card_token", "transaction_id", "second", "amount", "ip_country"])
+        frame["micros"], frame["is_late"], frame["_bucket"] = frame.pop("second") * 10**6, False, 1
+        out = pd.concat(step.handleInputRows((1,), iter([frame[1::2], frame[::2]]), None))
+        return {(r["card_token"], r["transaction_id"]): (r["card_txn_count_5m"], r["card_amount_sum_1h"]) for _, r in out.iterrows()}
+
+    first = batch([(k, "ab"[k % 2], f"t{k // 2}", 100 * (k // 2), 1.0 + k % 2, None) for k in range(20)])
+    assert len(first) == 20 and first["a", "t9"] == (4, 10.0) and first["b", "t9"] == (4, 20.0)
+    assert states.maps["cards"].entries["a",][4] == [] and states.maps["cards"].entries["a",][6] == [0]
+    again = batch([(30, "a", "t0", 1000, 1.0, None), (31, "b", "t11", 1000, 1.0, None), (32, "c", "t0", 0, 1.0, None)])
+    assert set(again) == {("b", "t11"), ("c", "t0")}
+    later = batch([(40, "a", "t0", 11_000, 1.0, None), (41, "a", "t0", 11_001, 1.0, None)])
+    assert set(later) == {("a", "t0")} and ("a", 0) not in states.maps["seen"].entries
+
+
+def test_state_is_keyed_by_buckets_not_by_cards(spark):
+    valid, _invalid = events.parse_events(feed(spark, [[message(1, "c", 0)]]))
+    plan = job.feature_stream(valid)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_bucket") and f"pmod(xxhash64(card_token" in plan
