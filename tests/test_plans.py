@@ -46,3 +46,15 @@ def test_no_python_in_batch_models(spark, sf):
     for df in (payments.fct(spark, sf), features.feature_vector(
             payments.fct(spark, sf).withColumns({n: F.lit(0.0) for n in features.WINDOWED}))):
         assert "Python" not in plan(df)
+
+
+def test_dedupe_keeps_the_dealing_of_the_order_join(spark, sf):
+    """At size no table but the suppliers, by count, fits a broadcast: lines move once for their order, and none moves for its retries or customer."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(payments.staged(spark, sf)["transactions"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(transaction_id" not in text
+    window = text[text.index("Window"):text.index("SortMergeJoin")]
+    assert "Exchange" not in window and text.count("Exchange hashpartitioning(l_orderkey") == 1
