@@ -58,3 +58,19 @@ def test_dedupe_keeps_the_dealing_of_the_order_join(spark, sf):
     assert "hashpartitioning(transaction_id" not in text
     window = text[text.index("Window"):text.index("SortMergeJoin")]
     assert "Exchange" not in window and text.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_pinned_facts_hold_only_what_is_read(spark, sf, monkeypatch):
+    from tillwork.registry import features as feature_queries, models, queries
+
+    pinned = {}
+    for module in (payments, feature_queries, models):
+        monkeypatch.setattr(module, "materialize", lambda df, label: pinned.setdefault(label, df))
+    queries()["txn_features"](spark, sf)
+    assert pinned.pop("fct").columns == list(features.FACT_COLUMNS)
+    models._training(spark, sf)
+    assert pinned.pop("fct").columns == list(features.FACT_COLUMNS)
+    queries()["dq_results"](spark, sf)
+    assert len(pinned.pop("fct").columns) == 4
+    queries()["fct_incremental"](spark, sf)
+    assert "first-load" in pinned
