@@ -111,3 +111,24 @@ def test_flows_masked_leaking_and_cyclic(spark):
         ("stg.email", "fct.email_hash", True), ("stg.contact", "mart.contact", False)}
     assert [r[1] for r in gov.leaks(flows).collect()] == ["mart.contact"]
     assert [r[0] for r in gov.contained(pii, flows).collect()] == ["stg.name"]
+
+
+BITS = ["4111111111111111", "4111 1111 1111 1111", "5500 0000 0000 0004", "403-555-0199", "+1 (403) 555 0199", "x@y.org", "@", " ", "-", "(", "++",
+        "1", "123", "é", "_", "word", "²", "½", "Ⅷ", "́", "‿", "‍", "٤" * 16, "٤" * 10, "\U0001d7d2" * 16,
+        "\U0001d7d2" * 10, "[REDACTED_CARD]", "\x00", "\x01", "\x02", "\x03", "\n", "\\1", "$1", "\U0001f600"]
+
+
+def test_texts_of_any_script_and_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tillwork import registry
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    want = [*((i, *plain_redact(t)) for i, t in enumerate(texts)), (len(texts), None, None)]
+    spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["redact_text"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert con.execute(registry.oracles()["redact_text"] + " order by doc_id").fetchall() == want

@@ -8,17 +8,20 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns and placeholders (fixed values). (?U) makes \d, \w and \b follow Unicode. The email
-# pattern may only start where a run of address characters starts, or where the last match ended:
-# the same matches, without rescanning a long run from each of its characters.
+# Patterns and placeholders (fixed values). Digits are decimal digits of any script; a card or phone number
+# stands between characters other than letters, numbers and underscores. The email pattern may only start
+# where a run of address characters starts, or where the last match ended: the same matches, without
+# rescanning a long run from each of its characters.
+# The letter U+10000 in the class, spelt out, makes the JVM look back by whole characters, not by half ones.
+_WORD = "[\\p{L}\\p{N}_\U00010000]"
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-CARD = r"(?U)\b(?:\d[ -]?){12,18}\d\b"
-PHONE = r"(?U)(?<!\w)(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+CARD = rf"(?<!{_WORD})(?:\p{{Nd}}[ -]?){{12,18}}\p{{Nd}}(?!{_WORD})"
+PHONE = rf"(?<!{_WORD})(?:\+?1[ .-]?)?\(?\p{{Nd}}{{3}}\)?[ .-]?\p{{Nd}}{{3}}[ .-]?\p{{Nd}}{{4}}(?!{_WORD})"
 CARD_MARK, EMAIL_MARK, PHONE_MARK = "[REDACTED_CARD]", "[REDACTED_EMAIL]", "[REDACTED_PHONE]"
 
-# Decimal digits of all scripts within the basic plane, and their plain forms.
-_DIGITS = [c for c in map(chr, range(128, min(sys.maxunicode, 0xFFFF))) if unicodedata.category(c) == "Nd"]
-_PLAIN = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+# Decimal digits of all scripts, and their plain forms.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+PLAIN = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 
 def luhn_valid(digits: Column) -> Column:
@@ -39,7 +42,7 @@ def card_runs(text: Column) -> Column:
 
 
 def is_card(run: Column) -> Column:
-    digits = F.regexp_replace(F.translate(run, "".join(_DIGITS), _PLAIN), "[^0-9]", "")
+    digits = F.regexp_replace(F.translate(run, DIGITS, PLAIN), "[^0-9]", "")
     return luhn_valid(digits)
 
 

@@ -40,7 +40,54 @@ def redaction_sql(table: str, keys: str) -> str:
       select *, cast(len(regexp_extract_all(text, '\[REDACTED_(CARD|EMAIL|PHONE)\]')) as integer) as redactions from no_phone)"""
 
 
-@query("redact_text", redaction_sql("documents", "doc_id") + " select * from redacted")
+# The whole rule for texts of any script: digits are decimal digits, a number stands between characters
+# other than letters, numbers and underscores, and every run is judged at its own place. Without lookarounds,
+# such characters are doubled first, so that two numbers beside one of them have one each. A card-like run is
+# set between marks (1, 3); a 1 of the text itself becomes (1, 2) until they are split.
+_OUT = r"[^\p{L}\p{N}_]"
+_SEP = r"(?:  |\.\.|--)?"
+_CARD_TWO = rf"({_OUT})((?:\p{{Nd}}(?:  |--)?){{12,18}}\p{{Nd}})({_OUT})"
+_PHONE_TWO = (rf"({_OUT})(?:(?:\+\+)?1{_SEP})?(?:\(\()?\p{{Nd}}{{3}}(?:\)\))?{_SEP}\p{{Nd}}{{3}}{_SEP}\p{{Nd}}{{4}}({_OUT})")
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def _twice(text: str) -> str:
+    return rf"regexp_replace(concat(' ', {text}, ' '), '({_OUT})', '\1\1', 'g')"
+
+
+def _once(text: str) -> str:
+    return rf"regexp_replace({text}, '({_OUT}){_OUT}', '\1', 'g')"
+
+
+REDACT_TEXT_SQL = rf"""
+    with texts as (select doc_id, text as t0 from documents where text is not null),
+    marked as (
+      select doc_id, string_split(regexp_replace({_twice("replace(t0, chr(1), chr(1) || chr(2))")}, '{_CARD_TWO}',
+                                                 concat('\1', chr(1), chr(3), '\2', chr(1), chr(3), '\3'), 'g'),
+                                  chr(1) || chr(3)) as parts from texts),
+    judged as (
+      select doc_id, list_transform(parts, lambda p, i: case when i % 2 = 0 and list_sum(list_transform(
+          string_split(reverse(regexp_replace(translate(p, '{redaction.DIGITS}', '{redaction.PLAIN}'), '[^0-9]', '', 'g')), ''),
+          lambda c, k: case when k % 2 = 1 then cast(c as integer)
+                            when cast(c as integer) > 4 then cast(c as integer) * 2 - 9
+                            else cast(c as integer) * 2 end)) % 10 = 0 then null else {_once("p")} end) as parts from marked),
+    no_cards as (
+      select doc_id, len(list_filter(parts, lambda p: p is null)) as n1,
+             array_to_string(list_transform(parts, lambda p: coalesce(p, '[REDACTED_CARD]')), '') as padded from judged),
+    plain as (
+      select doc_id, n1, replace(substring(padded, 2, length(padded) - 2), chr(1) || chr(2), chr(1)) as t1 from no_cards),
+    no_mail as (
+      select doc_id, n1 + len(regexp_extract_all(t1, '{_EMAIL}')) as n2,
+             regexp_replace(t1, '{_EMAIL}', '[REDACTED_EMAIL]', 'g') as t2 from plain),
+    wide as (select doc_id, n2, {_twice("t2")} as t2 from no_mail),
+    no_phone as (
+      select doc_id, n2 + len(regexp_extract_all(t2, '{_PHONE_TWO}')) as n3,
+             {_once(rf"regexp_replace(t2, '{_PHONE_TWO}', '\1[[REDACTED_PHONE]]\2', 'g')")} as t3 from wide)
+    select doc_id, substring(t3, 2, length(t3) - 2) as text, cast(n3 as integer) as redactions from no_phone
+    union all select doc_id, null, null from documents where text is null"""
+
+
+@query("redact_text", REDACT_TEXT_SQL)
 def _(spark, sf_dir):
     return redaction.redact(mapping.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
