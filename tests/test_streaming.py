@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tillwork import registry
 from tillwork.session import scratch_path
 from tillwork.sources import mapping
 from tillwork.streaming import events, feature_sink as sinks, feature_stream as job
@@ -330,3 +331,18 @@ def test_state_is_keyed_by_buckets_not_by_cards(spark):
     valid, _invalid = events.parse_events(feed(spark, [[message(1, "c", 0)]]))
     plan = job.feature_stream(valid)._jdf.queryExecution().analyzed().toString()
     assert plan.count("_bucket") and f"pmod(xxhash64(card_token" in plan
+
+
+def test_an_event_is_parsed_once(spark):
+    raw = spark.createDataFrame([("{}", 0, 1), (None, 0, 2), ("[", 0, 3)], "value string, part int, offset bigint")
+    valid, invalid = events.parse_events(raw)
+    for parsed in (valid, invalid):
+        assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert (valid.count(), sorted(r["offset"] for r in invalid.collect())) == (0, [1, 2, 3])
+
+
+def test_late_replay_hands_over_what_it_shows(spark, sf, monkeypatch):
+    seen, tag_late = [], job.tag_late
+    monkeypatch.setattr(job, "tag_late", lambda rows: seen.extend(rows.columns) or tag_late(rows))
+    assert registry.queries()["stream_late"](spark, sf).count() > 0
+    assert sorted(seen) == ["event_time", "offset", "part", "transaction_id"]
