@@ -346,3 +346,15 @@ def test_late_replay_hands_over_what_it_shows(spark, sf, monkeypatch):
     monkeypatch.setattr(job, "tag_late", lambda rows: seen.extend(rows.columns) or tag_late(rows))
     assert registry.queries()["stream_late"](spark, sf).count() > 0
     assert sorted(seen) == ["event_time", "offset", "part", "transaction_id"]
+
+
+def test_a_replay_keeps_events_of_any_age_once(spark, tmp_path):
+    import duckdb
+
+    # Two copies of a month under other ids: the second one's events are up to a month behind the first one's.
+    copies = duckdb.sql("select event_id + i * 1000 as event_id, user_id, event_type, ts, value, props "
+                        "from '/root/testdata/sf0.001/events.parquet', range(2) r(i) order by i, event_id")
+    copies.write_parquet(f"{tmp_path}/events.parquet")
+    n = copies.aggregate("count(distinct event_id)").fetchall()[0][0]
+    got = registry.queries()["stream_dedupe"](spark, str(tmp_path))
+    assert (got.count(), got.select("transaction_id").distinct().count()) == (n, n)
