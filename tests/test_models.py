@@ -170,3 +170,25 @@ def test_zscore_of_amounts_of_any_size(spark, split):
             before = amounts[:i]
             want = float((amounts[i] - statistics.mean(before)) / statistics.stdev(before))
             assert got[m, i] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_upsert_of_unique_changes(spark, monkeypatch, sent):
+    """Replaced keys sent whole or joined, null keys kept."""
+    from tillwork.operators import upsert as merging
+
+    monkeypatch.setattr(merging, "KEYS_SENT", sent)
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id int, v string")
+    new = spark.createDataFrame([(2, "c", 9), (3, "d", 8), (None, "m", 7)], "id int, v string, extra int")
+    got = sorted(map(tuple, merging.upsert(old, new, ["id"], unique=True).collect()), key=str)
+    assert got == sorted([(1, "a", None), (None, "n", None), (2, "c", 9), (3, "d", 8), (None, "m", 7)], key=str)
+    assert got == sorted(map(tuple, merging.upsert(old, new, ["id"]).collect()), key=str)
+
+
+def test_adjustments_by_a_coarser_column(spark):
+    """Looked up by the map of a group as by a join, also with a null id and a group without adjustments."""
+    txns = spark.createDataFrame([(1, "1-1"), (1, "1-2"), (2, "2-1"), (3, None)], "g long, transaction_id string")
+    adj = spark.createDataFrame([(1, "1-2", 3, None), (2, "2-9", 4, "x"), (3, None, 5, "y")], "g long, transaction_id string, n long, s string")
+    got = sorted(map(tuple, marts._looked_up(txns, adj, "g").collect()), key=str)
+    want = sorted(map(tuple, txns.join(adj.drop("g"), "transaction_id", "left").select("g", "transaction_id", "n", "s").collect()), key=str)
+    assert got == want

@@ -74,3 +74,39 @@ def test_pinned_facts_hold_only_what_is_read(spark, sf, monkeypatch):
     assert len(pinned.pop("fct").columns) == 4
     queries()["fct_incremental"](spark, sf)
     assert "first-load" in pinned
+
+
+def test_fact_moves_lines_once_and_no_transaction(spark, sf):
+    """Transactions, refunds and chargebacks read the same columns of the lines, so that one shuffle serves all
+    three; only refunds and chargebacks are dealt by transaction."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(payments.fct(spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [re.sub(r"#\d+L?", "", s) for s in re.findall(r"FileScan parquet \[([^\]]*)\]", text) if s.startswith("l_orderkey")]
+    assert len(lines) == 3 and len(set(lines)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(transaction_id", text)) == 2
+
+
+def test_incremental_fact_leaves_old_rows_in_place(spark, sf):
+    s = payments.staged(spark, sf)
+    first = spark.createDataFrame(payments.fct(spark, sf).where("created_at < '1998-01-01'").limit(50).collect(),
+                                  payments.fct(spark, sf).schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = marts.fct_incremental(first, s["transactions"], s["refunds"], s["chargebacks"], s["fx"], payments.DEALT)
+        assert "Exchange hashpartitioning" not in plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = marts.fct_incremental(first, s["transactions"].drop("l_orderkey"), s["refunds"], s["chargebacks"], s["fx"])
+    assert out.count() == plain.count() > 50
+    assert out.exceptAll(plain).count() == 0
+
+
+def test_shuffle_files_go_with_their_job(spark, sf):
+    from tillwork.session import prepare
+
+    assert prepare(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(df.collect()) == sorted(df.collect())     # run again from the same plan
