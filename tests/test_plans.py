@@ -110,3 +110,12 @@ def test_shuffle_files_go_with_their_job(spark, sf):
     assert prepare(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
     df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     assert sorted(df.collect()) == sorted(df.collect())     # run again from the same plan
+
+
+def test_merchant_rows_move_before_their_sums_are_made(spark, sf):
+    """Printed top down: the rows move for the merchant first, without values made for its sums, then for the card."""
+    df = features.windowed_features(mapping.event_transactions(spark, sf))
+    text = plan(df)
+    card, merchant = text.index("Exchange hashpartitioning(card_token"), text.index("Exchange hashpartitioning(merchant_id")
+    assert card < merchant and "decimal(36,0)" not in text[merchant:] and "decimal(36,0)" in text[card:merchant]
+    assert df.columns == [*mapping.event_transactions(spark, sf).columns, *features.WINDOWED]
